@@ -55,3 +55,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     if len(rows) > limit:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def few_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list:
+    """Rows of a table that has to be small, such as one row per year."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} groups")
+    return rows
