@@ -37,14 +37,22 @@ def block_key(name: Column) -> Column:
     ).otherwise(F.soundex(word))
 
 
-def day_gap(earlier: Column, later: Column) -> Column:
-    """Whole days between two moments, floored before the sign is dropped."""
-    micros = _micros(earlier) - _micros(later)
-    return F.abs(F.floor(micros / F.lit(MICROS_PER_DAY))).cast("bigint")
+def wall_micros(moment: Column) -> Column:
+    """Microseconds on the wall clock since 1970, whatever the session zone."""
+    days = F.unix_date(F.to_date(moment)).cast("bigint")
+    minutes = days * 1440 + F.hour(moment) * 60 + F.minute(moment)
+    seconds = F.extract(F.lit("SECOND"), moment)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
 
+def micros_gap(earlier: Column, later: Column) -> Column:
+    """Whole days between two microsecond counts, floored before the sign goes."""
+    return F.abs(F.floor((earlier - later) / F.lit(MICROS_PER_DAY))).cast("bigint")
 
-def _micros(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp"))
+
+def day_gap(earlier: Column, later: Column) -> Column:
+    """Whole days between two moments, the earlier visit first."""
+    return micros_gap(wall_micros(earlier), wall_micros(later))
 
 
 def age_score(gap: Column) -> Column:

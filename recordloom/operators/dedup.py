@@ -96,15 +96,11 @@ def comparable(df: DataFrame) -> Column:
     return (df[NAME] != "") & df["sexe"].isNotNull() & df["age"].isNotNull()
 
 
-def _micros(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp"))
-
-
 def match_classes(df: DataFrame) -> DataFrame:
     """One row per distinct set of compared fields: first visit and copies."""
     return (
         df.filter(comparable(df))
-        .select(YEAR, F.col(NAME).alias("name"), "sexe", "age", _micros(F.col("date_entree")).alias("at"), F.col(ORDER).alias("no"))
+        .select(YEAR, F.col(NAME).alias("name"), "sexe", "age", sim.wall_micros(F.col("date_entree")).alias("at"), F.col(ORDER).alias("no"))
         .groupBy(YEAR, "name", "sexe", "age", "at")
         .agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("copies"))
     )
@@ -266,7 +262,7 @@ def _neighbours(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def _matches(earlier: Column, later: Column) -> Column:
     """Match of two visits of neighbouring cells, given the moment of each."""
-    gap = F.abs(F.floor((earlier - later) / F.lit(sim.MICROS_PER_DAY)))
+    gap = sim.micros_gap(earlier, later)
     undated = earlier.isNull() | later.isNull()
     return F.when(undated | (gap == 0), F.col("near")).when(gap == 1, F.col("far")).otherwise(F.lit(False))
 

@@ -92,6 +92,7 @@ def _identity_aggregates(iso_day_first: bool) -> dict[str, Column]:
     date = _first(F.col("date_entree"), F.lit(True))
     return {
         "visit_no": F.min("row_no"),
+        "n_lignes": F.count(F.lit(1)),
         "prenom": first["prenom"],
         "nom": first["nom"],
         "age": typed.age_from_text(first["age"]),

@@ -58,14 +58,13 @@ def read_raw_years(spark: SparkSession, paths: dict[int, str], fmt: str = "parqu
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    """Clean table from CSV with a header; columns in the order of CLEAN_SCHEMA."""
-    return (
-        spark.read.option("header", True)
-        .option("enforceSchema", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss][.SSSSSS]")
-        .schema(CLEAN_SCHEMA)
-        .csv(path)
-    )
+    """Clean table from CSV with a header; columns in the order of CLEAN_SCHEMA.
+
+    Entry times that cannot be read become NULL.
+    """
+    as_text = CLEAN_SCHEMA.replace("date_entree timestamp_ntz", "date_entree string")
+    rows = spark.read.option("header", True).option("enforceSchema", True).schema(as_text).csv(path)
+    return rows.withColumn("date_entree", F.col("date_entree").try_cast("timestamp_ntz"))
 
 
 def trim_names(df: DataFrame) -> DataFrame:
@@ -74,8 +73,13 @@ def trim_names(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Small result table as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Result table as CSV with a header; times as ``2023-09-01 08:15:00``."""
+    times = {
+        name: F.col(name).cast("string")
+        for name, kind in df.dtypes
+        if kind in ("timestamp", "timestamp_ntz")
+    }
+    df.withColumns(times).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_by_year(df: DataFrame, path: str) -> None:
