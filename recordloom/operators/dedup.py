@@ -330,7 +330,7 @@ def keep_first(classes: DataFrame, threshold: float = THRESHOLD) -> KeepFirst:
     return KeepFirst(staged(reduce(DataFrame.unionByName, kept), "kept-all"), members, links)
 
 
-def _without_dropped(df: DataFrame, outcome: KeepFirst | None) -> DataFrame:
+def without_dropped(df: DataFrame, outcome: KeepFirst | None) -> DataFrame:
     if outcome is None:
         return df
     kept = outcome.kept.select(YEAR, F.col("no").alias(ORDER), F.lit(True).alias("_kept"))
@@ -415,5 +415,5 @@ def deduplicate(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     # A threshold above the score of equal visits drops nothing.
     if sim.composite_value(1.0, 1.0, 1.0) >= threshold:
         outcome = keep_first(match_classes(df), threshold)
-    clean = _without_dropped(df, outcome)
+    clean = without_dropped(df, outcome)
     return clean, dedup_report(df, clean, outcome)
