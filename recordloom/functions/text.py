@@ -14,12 +14,6 @@ ENCODING_MARKERS = "ÈË‡¬ÔÁÇÊœÕ"
 # Escapes left in cells by spreadsheet export.
 CELL_ESCAPES = (("_x0019_", "’"), ("_x0013_", "-"))
 
-# Everything that counts as white space in a cell.
-WHITESPACE = (
-    r"\t\n\x0b\f\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
-
-
 @lru_cache(maxsize=1)
 def encoding_tables() -> tuple[str, str, str]:
     """(source, target, encodable): the per-character form of the byte repair.
@@ -43,22 +37,52 @@ def encoding_tables() -> tuple[str, str, str]:
     return "".join(source), "".join(target), "".join(encodable)
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _holds_any(text: Column, chars: str) -> Column:
+    """True if one of ``chars`` occurs; faster than a large character class."""
+    return F.translate(text, chars, "") != text
+
+
 def repair_encoding(text: Column) -> Column:
     """Undo Mac Roman bytes read as Windows text, where a marker shows it."""
     source, target, encodable = encoding_tables()
-    repairable = text.rlike(f"[{ENCODING_MARKERS}]") & ~text.rlike(
-        rf"[^\x00-\x7f{encodable}]"
-    )
+    repairable = ~_is_ascii(text) & _holds_any(text, ENCODING_MARKERS) & _is_ascii(F.translate(text, encodable, ""))
     return F.when(repairable, F.translate(text, source, target)).otherwise(text)
 
 
+# White space in the basic plane other than the plain blank.
+_ODD_SPACE = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
+
+def _is_clean(text: Column) -> Column:
+    """True where cleaning would change nothing; cheap, and true of most cells.
+
+    Printable ASCII is told apart first.
+    """
+    return ~(
+        (text.rlike(r"[^\x20-\x7e]") & _holds_any(text, ENCODING_MARKERS + _ODD_SPACE))
+        | F.contains(text, F.lit("  "))
+        | F.startswith(text, F.lit(" "))
+        | F.endswith(text, F.lit(" "))
+        | F.contains(text, F.lit("_x00"))
+        | (text == "")
+    )
+
+
 def clean_text(text: Column, repair: bool = True) -> Column:
     """Repair, replace escapes, collapse white space; blank becomes NULL."""
     value = repair_encoding(text) if repair else text
     for escape, replacement in CELL_ESCAPES:
         value = F.replace(value, F.lit(escape), F.lit(replacement))
-    value = F.trim(F.regexp_replace(value, f"[{WHITESPACE}]+", " "))
-    return F.nullif(value, F.lit(""))
+    value = F.translate(value, _ODD_SPACE, " " * len(_ODD_SPACE))
+    value = F.trim(F.regexp_replace(value, " {2,}", " "))
+    return F.when(_is_clean(text), text).otherwise(F.nullif(value, F.lit("")))
 
 
 def _ascii_key(char: str) -> str:
@@ -66,12 +90,18 @@ def _ascii_key(char: str) -> str:
     return "".join(c for c in plain if c.isascii() and c.isalnum()).lower()
 
 
+# Blocks in which characters without a key are listed one by one for removal:
+# Latin with its accents, combining marks, general punctuation and currency.
+_LISTED_BLOCKS = (range(0x00, 0x250), range(0x300, 0x370), range(0x2000, 0x20D0))
+
+
 @lru_cache(maxsize=1)
 def slug_tables() -> tuple[str, str, dict[str, str]]:
     """(source, target, expanding) from the Unicode compatibility mappings.
 
-    ``source[i]`` becomes ``target[i]``; ``expanding`` holds the characters
-    whose key is longer than one character or which lie beyond the basic plane.
+    ``source[i]`` becomes ``target[i]``, or nothing beyond the end of
+    ``target``; ``expanding`` holds the characters whose key is longer than one
+    character or which lie beyond the basic plane.
     """
     source, target, expanding = [], [], {}
     for code in range(0x80, 0x110000):
@@ -84,43 +114,31 @@ def slug_tables() -> tuple[str, str, dict[str, str]]:
             target.append(key)
         elif key:
             expanding[char] = key
-    return "".join(source), "".join(target), expanding
-
-
-def _class_of(chars: list[str]) -> str:
-    """Java character class over ``chars``, neighbours joined to ranges."""
-    codes = sorted(map(ord, chars))
-    runs: list[list[int]] = []
-    for code in codes:
-        if runs and code == runs[-1][1] + 1:
-            runs[-1][1] = code
-        else:
-            runs.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
-
-
-@lru_cache(maxsize=1)
-def _expanding_class() -> str:
-    return _class_of(list(slug_tables()[2]))
+    dropped = [chr(c) for block in _LISTED_BLOCKS for c in block if not _ascii_key(chr(c))]
+    return "".join(source + dropped), "".join(target), expanding
 
 
 def slug(text: Column) -> Column:
     """Key without accents, case, punctuation or spaces; NULL gives ''.
 
-    The rare expanding characters take a per-character branch that the CASE
-    leaves unevaluated for all other rows.
+    ASCII texts only lose characters. For others one pass over a character
+    table settles nearly all; the rest take the general form, character by
+    character. The CASE evaluates a branch only where it is needed.
     """
     source, target, expanding = slug_tables()
     pairs = ",".join(f"{char}:{key}" for char, key in expanding.items())
     lookup = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
+    ascii_noise = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
+    by_table = F.translate(text, source, target)
     spelled_out = F.array_join(
-        F.transform(
-            F.split(text, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)
-        ),
-        "",
+        F.transform(F.split(by_table, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""
+    )
+    general = F.regexp_replace(spelled_out, "[^a-zA-Z0-9]", "")
+    key = (
+        F.when(_is_ascii(text), F.translate(text, ascii_noise, ""))
+        .when(~by_table.rlike("[^a-zA-Z0-9]"), by_table)
+        .otherwise(general)
     )
-    flat = F.when(text.rlike(_expanding_class()), spelled_out).otherwise(text)
-    key = F.regexp_replace(F.translate(flat, source, target), "[^a-zA-Z0-9]", "")
     return F.coalesce(F.lower(key), F.lit(""))
 
 

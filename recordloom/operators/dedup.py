@@ -312,8 +312,6 @@ def keep_first(classes: DataFrame, threshold: float = THRESHOLD) -> KeepFirst:
             .groupBy(YEAR, "cell").agg(F.min("no").alias("nearest"))
         )
         winners = first.join(nearest, [YEAR, "cell"], "left").filter("nearest is null or nearest > no")
-        winners = staged(winners.select(*columns), "kept")
-        kept.append(winners)
         reach = winners.select(YEAR, "cell", F.col("no").alias("k_no"), F.col("at").alias("k_at"))
         hits = reach.join(neighbours, [YEAR, "cell"]).select(
             YEAR, F.col("other").alias("cell"), "k_no", "k_at", "near", "far"
@@ -322,8 +320,11 @@ def keep_first(classes: DataFrame, threshold: float = THRESHOLD) -> KeepFirst:
             (F.col(f"o.{YEAR}") == F.col(f"h.{YEAR}")) & (F.col("o.cell") == F.col("h.cell"))
             & (F.col("h.k_no") < F.col("o.no")) & _matches(F.col("h.k_at"), F.col("o.at"))
         )
-        left = open_rows.alias("o").join(hits.alias("h"), lost, "left_anti")
-        open_rows = staged(left.join(winners.select(YEAR, "no"), [YEAR, "no"], "left_anti").select(*columns), "open")
+        left = open_rows.alias("o").join(hits.alias("h"), lost, "left_anti").select(*columns)
+        won = winners.select(YEAR, "no", F.lit(True).alias("won"))
+        left = staged(left.join(won, [YEAR, "no"], "left").select(*columns, F.coalesce("won", F.lit(False)).alias("won")), "round")
+        kept.append(left.filter("won").select(*columns))
+        open_rows = left.filter("not won").select(*columns)
     links = neighbours.unionByName(
         cells.select(YEAR, "cell", F.col("cell").alias("other"), *own)
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, typed
+from ..session import few_rows_or_none
 
 # Category key -> list column. Keys of one column are merged in
 # this order.
@@ -55,16 +56,13 @@ FIRST_ANSWERS = {
 VISIT = ("annee", "dossier")
 
 
-def clean_eav(raw: DataFrame, repair: bool = True) -> DataFrame:
-    """Clean the text cells, drop rows without a dossier, derive the keys."""
-    cleaned = raw.withColumns(
-        {c: text.clean_text(F.col(c), repair) for c in ("attribut", "patient", "dossier", "reponse")}
-    ).filter(F.col("dossier").isNotNull())
+def _with_attribute_keys(df: DataFrame, repair: bool) -> DataFrame:
+    """Clean attribute, its two parts and their keys."""
+    cleaned = df.withColumn("attribut", text.clean_text(F.col("attribut"), repair))
     parts = cleaned.withColumns(
         {
             "categorie": text.attribute_category(F.col("attribut")),
             "item": text.attribute_item(F.col("attribut")),
-            "reponse_on": text.is_ticked(F.col("reponse")),
         }
     )
     return parts.withColumns(
@@ -72,6 +70,27 @@ def clean_eav(raw: DataFrame, repair: bool = True) -> DataFrame:
     )
 
 
+def clean_eav(raw: DataFrame, repair: bool = True) -> DataFrame:
+    """Clean the text cells, drop rows without a dossier, derive the keys.
+
+    A form has few attributes and they repeat in every visit, so the distinct
+    ones are cleaned once and joined back as a broadcast table. If there are
+    too many to broadcast, the same expressions run on every row instead.
+    """
+    cells = raw.withColumns(
+        {c: text.clean_text(F.col(c), repair) for c in ("patient", "dossier", "reponse")}
+    ).filter(F.col("dossier").isNotNull())
+    cells = cells.withColumn("reponse_on", text.is_ticked(F.col("reponse")))
+    distinct = few_rows_or_none(raw.select("attribut").distinct())
+    if distinct is None:
+        return _with_attribute_keys(cells, repair)
+    seen = raw.sparkSession.createDataFrame(distinct, "attribut string")
+    known = _with_attribute_keys(seen.withColumn("_seen", F.col("attribut")), repair)
+    matched = F.col("_raw").eqNullSafe(F.col("_seen"))
+    joined = cells.withColumnRenamed("attribut", "_raw").join(F.broadcast(known), matched)
+    return joined.drop("_raw", "_seen")
+
+
 def _order() -> Column:
     # The item breaks ties, so a repeated row number still gives one result.
     return F.struct("row_no", "item")
@@ -199,6 +218,9 @@ def normalised_visits(
 ) -> DataFrame:
     """Clean answers to normalised visits in one aggregation, without lists."""
     keys = _keys_by_column(list_columns)
+    # Item keys decide only here; the CASE spares all other rows the work.
+    keyed = (F.col("cat_slug") == IDENTITY) | _ticked(keys["sexe_brut"] + keys["diagnostic"])
+    eav = eav.withColumn("item_slug", F.when(keyed, F.col("item_slug")))
     aggregates = _identity_aggregates(iso_day_first)
     for old, new in FIRST_ANSWERS.items():
         aggregates[new] = F.min_by("item", F.when(_ticked(keys[old]), _answer_order(keys[old])))

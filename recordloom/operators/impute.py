@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from ..functions import labels
 from ..functions.text import round_half_even
-from ..session import few_rows, small_side, staged
+from ..session import few_rows, settled, small_side, staged
 
 YEAR = "annee"
 SEED = 42
@@ -244,7 +244,7 @@ def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e
         F.coalesce(F.sum(F.when(F.col("_sex").isNull(), F.col("_n"))), F.lit(0)).alias("sex_gaps"),
         F.greatest(F.max(F.abs("_age")), F.max(F.abs("_sex"))).alias("largest"),
     ).first()
-    state = staged(
+    state = settled(
         cells.select(
             "_age", "_sex",
             F.coalesce("_age", F.lit(means["age"]).cast("double")).alias("age_now"),
@@ -263,11 +263,8 @@ def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e
             .select(F.col(f"r._{target}").alias("label"), F.col(f"c.{feature}_now").alias("x"))
         )
         assembler = VectorAssembler(inputCols=["x"], outputCol="features")
-        # Deep trees with a split between all whole ages, as unbounded trees have.
-        forest = RandomForestRegressor(
-            numTrees=trees, seed=SEED, maxDepth=12, maxBins=256, minInstancesPerNode=1,
-            cacheNodeIds=False, maxMemoryInMB=512,
-        )
+        # One feature: eight levels and 256 bins can part all whole ages.
+        forest = RandomForestRegressor(numTrees=trees, seed=SEED, maxDepth=8, maxBins=256, maxMemoryInMB=512)
         model = forest.fit(assembler.transform(train))
         scored = model.transform(assembler.transform(state.withColumn("x", F.col(f"{feature}_now"))))
         return scored.select(
@@ -285,7 +282,7 @@ def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e
         before = state
         for target, feature in order:
             if means[f"{target}_gaps"]:
-                state = staged(refit(state, target, feature), "forest")
+                state = settled(refit(state, target, feature), "forest")
         same = F.col("a._age").eqNullSafe(F.col("b._age")) & F.col("a._sex").eqNullSafe(F.col("b._sex"))
         change = before.alias("a").join(state.alias("b"), same).agg(
             F.max(F.abs(F.col("a.age_now") - F.col("b.age_now")) + F.abs(F.col("a.sex_now") - F.col("b.sex_now")))

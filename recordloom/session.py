@@ -45,21 +45,38 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """A broadcast copy of ``df`` if it holds at most ``limit`` rows.
+def few_rows_or_none(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list | None:
+    """All rows of ``df``, or None if it holds more than ``limit``.
 
-    A larger table is returned unchanged and without a hint, so Spark joins it
-    with a shuffle. At most ``limit + 1`` rows ever reach the driver.
+    At most ``limit + 1`` rows ever reach the driver.
     """
     rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return rows if len(rows) <= limit else None
 
 
 def few_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list:
     """Rows of a table that has to be small, such as one row per year."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = few_rows_or_none(df, limit)
+    if rows is None:
         raise ValueError(f"more than {limit} groups")
     return rows
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """A broadcast copy of ``df`` if it holds at most ``limit`` rows.
+
+    A larger table is returned unchanged and without a hint, so Spark joins it
+    with a shuffle.
+    """
+    rows = few_rows_or_none(df, limit)
+    if rows is None:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def settled(df: DataFrame, label: str, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """The rows of ``df`` fixed: in memory if few, else as a written table."""
+    rows = few_rows_or_none(df, limit)
+    if rows is None:
+        return staged(df, label)
+    return df.sparkSession.createDataFrame(rows, df.schema)
