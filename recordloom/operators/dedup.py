@@ -27,7 +27,7 @@ from pyspark.sql import Window
 
 from ..functions import similarity as sim
 from ..functions.text import round_half_even
-from ..session import small_side, staged
+from ..session import few_rows_or_none, small_side, staged
 
 THRESHOLD = 0.85
 YEAR, ORDER, NAME = "annee", "visit_no", "nom_complet_norm"
@@ -143,9 +143,10 @@ def _tiled_join(left: DataFrame, right: DataFrame, keys: list[str], condition: C
     crowded = counts.filter(F.col("count") > 2 * TILE_ROWS).select(
         *keys, F.ceil(F.col("count") / (2 * TILE_ROWS)).cast("int").alias("tiles")
     )
-    crowded = staged(crowded, "crowded")
-    if not crowded.isEmpty():
-        crowded = small_side(crowded)
+    few = few_rows_or_none(crowded)
+    if few is None or few:
+        if few:
+            crowded = F.broadcast(left.sparkSession.createDataFrame(few, crowded.schema))
         own = F.pmod(F.xxhash64("cell"), F.coalesce("tiles", F.lit(1))).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
         left = left.join(crowded, keys, "left").select(*left.columns, own.alias("tile_l"), others.alias("tile_r"))

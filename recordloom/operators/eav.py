@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, typed
-from ..session import few_rows_or_none
+from ..session import few_rows_or_none, keep_methods_compilable
 
 # Category key -> list column. Keys of one column are merged in
 # this order.
@@ -77,6 +77,7 @@ def clean_eav(raw: DataFrame, repair: bool = True) -> DataFrame:
     ones are cleaned once and joined back as a broadcast table. If there are
     too many to broadcast, the same expressions run on every row instead.
     """
+    keep_methods_compilable(raw.sparkSession)
     cells = raw.withColumns(
         {c: text.clean_text(F.col(c), repair) for c in ("patient", "dossier", "reponse")}
     ).filter(F.col("dossier").isNotNull())

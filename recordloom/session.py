@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 20_000
 
 
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def keep_methods_compilable(spark: SparkSession) -> None:
+    """Fuse operators only while the JVM still compiles the generated method.
+
+    The text expressions are large. Beyond 8000 bytes of bytecode HotSpot runs
+    a method interpreted, which costs far more than fusing saves. A limit the
+    user has chosen is left alone.
+    """
+    if spark.conf.get(_METHOD_LIMIT, "65535") == "65535":
+        spark.conf.set(_METHOD_LIMIT, "8000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
@@ -45,6 +59,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer splits, else unchanged.
+
+    A table of one file with one row group is read by one task, whatever the
+    work that follows. Large tables come in many splits and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def few_rows_or_none(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list | None:
     """All rows of ``df``, or None if it holds more than ``limit``.
 

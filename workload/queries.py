@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import labels, similarity, text, typed
 from recordloom.operators import compare, counts, dedup, eav, impute
 from recordloom.plans import cleaning, flow, quality
-from recordloom.session import staged
+from recordloom.session import spread, staged
 
 from . import twins as t
 from .shapes import (
@@ -46,19 +46,23 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- text and typing --------------------------------------------------------
 
+def _documents(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("f1_encoding_repair", f"SELECT doc_id, {t.repaired('text')} AS repaired FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.repair_encoding(F.col("text")).alias("repaired"))
+    return _documents(spark, sf).select("doc_id", text.repair_encoding(F.col("text")).alias("repaired"))
 
 
 @query("f2_clean_text", f"SELECT doc_id, {t.cleaned('text')} AS cleaned FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return _documents(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("f3_slug_key", f"SELECT doc_id, {t.slug('text')} AS slug FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+    return _documents(spark, sf).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 _TURN = "concat(role, ' : ', turn, ' : ', text)"
@@ -96,7 +100,7 @@ _AGE = "TRY_CAST(regexp_extract(text, '([0-9]{1,3})', 1) AS INTEGER)"
 
 @query("f6_age_parse", f"SELECT doc_id, CASE WHEN {_AGE} BETWEEN 0 AND 120 THEN {_AGE} END AS age FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", typed.age_from_text(F.col("text")).alias("age"))
+    return _documents(spark, sf).select("doc_id", typed.age_from_text(F.col("text")).alias("age"))
 
 
 @query(
@@ -143,7 +147,8 @@ def _(spark, sf):
        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""",
 )
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).join(
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
+    lines = lines.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).join(
         table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")
     )
     other = F.lower(F.concat("s_name", "l_returnflag", "l_linestatus"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.session import spread
+
 YEARS = (2023, 2024)
 
 # Answer labels as they appear on a form.
@@ -92,7 +94,7 @@ _CLOCK = "' ', lpad(CAST(o_orderkey % 24 AS {text}), 2, '0'), ':30'"
 
 def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and customers as identity and tick rows, line items as diagnosis ticks."""
-    orders = table(spark, sf_dir, "orders").join(
+    orders = spread(table(spark, sf_dir, "orders")).join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
     date = _entry_date(
@@ -113,7 +115,8 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(YEARS[0]) + F.col("o_orderkey") % 2).cast("int").alias("annee"),
     )
     label = F.try_element_at(F.array(*map(F.lit, ANSWER_LABELS)), (F.col("l_partkey") % len(ANSWER_LABELS) + 1).cast("int"))
-    from_lines = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    from_lines = spread(lines).select(
         (F.col("l_orderkey") * 64 + 32 + F.col("l_linenumber")).alias("row_no"),
         F.lit("lineitem").alias("titre"),
         F.concat(F.lit("Diagnostic retenu ou évoqué : "), label).alias("attribut"),
