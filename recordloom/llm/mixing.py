@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import packed, staged, word_count
+from recordloom.llm.shared import staged, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUCKETS = 256
@@ -69,21 +69,23 @@ def systematic_mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 42,
+    carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """How often the mix takes each row of ``docs``.
 
     Returns ``row`` (struct of all input columns), ``size`` (words),
     ``source_size``, ``target`` (words the source should give) and ``copies``
     (0, 1 or 2 with the default cap). ``key`` only breaks ties between rows of
-    equal size; rows equal in key and text are interchangeable.
+    equal size; rows equal in key and text are interchangeable. ``carry`` names
+    the input columns that ``row`` shall hold, all by default.
 
     Null texts have size 0. A null source is a source of its own, last in
     order. A source of size 0 has target 0 and is never taken. An empty table
     gives an empty result. The offset depends on seed and source only, so
     reruns agree.
     """
-    rows = packed(
-        docs,
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in (carry or docs.columns)]).alias("row"),
         source.isNull().alias("no_source"),
         F.coalesce(source, F.lit("")).alias("source_key"),
         word_count(text).alias("size"),
@@ -132,7 +134,7 @@ def emit(mix: DataFrame) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     """Size, target and words taken of every document."""
     return systematic_mix(
-        docs.select("doc_id", "source", "text"), F.col("text"), F.col("source"), F.col("doc_id")
+        docs.select("doc_id", "source", "text"), F.col("text"), F.col("source"), F.col("doc_id"), carry=("doc_id",)
     ).select(
         F.col("row.doc_id").alias("doc_id"),
         "size",
