@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, rules
+from recordloom.llm import mixing, packing, rules, tokenstore
 from recordloom.llm.shared import table
 
 
+def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenstore.query(table(spark, folder, "documents"))
+
+
+def op8_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.query(table(spark, folder, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.query(table(spark, folder, "documents"))
 
@@ -19,6 +27,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_source_mix, op10_quality_rules)
+    f.__name__: f for f in (op4_token_store, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {}
