@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import SPACE, packed, removed, staged, words
+from recordloom.llm.shared import SPACE, removed, staged, words
 
 # Frequent words of each language.
 COMMON = {
@@ -135,6 +135,7 @@ def quality_rules(
     min_words: int = 50,
     max_classes: float = 0.30,
     max_commons: float = 0.30,
+    carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Counts, distances and verdict of every row.
 
@@ -143,13 +144,19 @@ def quality_rules(
     ``word_distance`` (to the nearest language; null below ``min_words``),
     ``base_failed`` and ``kept``.
 
+    ``carry`` names the input columns that ``row`` shall hold, all by default.
+
     Null and blank texts have no words and fail the base rule. Texts under
     ``min_words`` are judged by the base rule alone. Rows of unknown or null
     language are compared with every language, but feed no reference. Without
     any known language the base rule alone decides.
     """
-    rows = packed(docs, F.coalesce(text, F.lit("")).alias("text"), lang.alias("lang"))
-    rows = rows.select(F.struct("row", "lang").alias("row"), "text", words(F.col("text")).alias("words"))
+    kept = F.struct(*[docs[f"`{c}`"] for c in (carry or docs.columns)])
+    rows = docs.select(
+        F.struct(kept.alias("row"), lang.alias("lang")).alias("row"),
+        F.coalesce(text, F.lit("")).alias("text"),
+        words(text).alias("words"),
+    )
     counted = staged(histograms(base_counts(rows)), "rule-counts")
     known = references(counted, F.col("row.lang"))
     near = lambda c, k: F.least(*d) if len(d := [distance(F.col(c), r[k]) for r in known.values()]) > 1 else d[0] if d else F.lit(None)
@@ -168,7 +175,7 @@ def quality_rules(
 
 def query(docs: DataFrame) -> DataFrame:
     """Base counts and verdict of every document."""
-    return quality_rules(docs.select("doc_id", "text", "lang"), F.col("text"), F.col("lang")).select(
+    return quality_rules(docs.select("doc_id", "text", "lang"), F.col("text"), F.col("lang"), carry=("doc_id",)).select(
         F.col("row.doc_id").alias("doc_id"),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "word_distance",
