@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, packing, rules, tokenstore
+from recordloom.llm import mixing, packing, parityjoin, rules, tokenstore
 from recordloom.llm.shared import table
 
 
+def op3_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parityjoin.query(table(spark, folder, "documents"))
+
+
 def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.query(table(spark, folder, "documents"))
 
@@ -27,6 +31,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_store, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
+    f.__name__: f for f in (op3_parity_join, op4_token_store, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {}
