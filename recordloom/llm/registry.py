@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, packing, parityjoin, rules, tokenstore
+from recordloom.llm import mixing, packing, parityjoin, preference, rules, tokenstore, urls
 from recordloom.llm.shared import table
 
 
+def op2_preference_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return preference.query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     return parityjoin.query(table(spark, folder, "documents"))
 
@@ -18,6 +22,10 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.query(table(spark, folder, "documents"))
 
 
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.query(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 def op8_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.query(table(spark, folder, "documents"))
 
@@ -31,6 +39,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_parity_join, op4_token_store, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
+    f.__name__: f for f in (op2_preference_quality, op3_parity_join, op4_token_store, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {}
