@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, packing, parityjoin, preference, rules, tokenstore, urls
+from recordloom.llm import mixing, packing, parityjoin, pii, preference, rules, tokenstore, urls
 from recordloom.llm.shared import table
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.query(table(spark, folder, "documents"))
+
+
 def op2_preference_quality(spark: SparkSession, folder: str) -> DataFrame:
     return preference.query(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -39,6 +43,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_preference_quality, op3_parity_join, op4_token_store, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
+    f.__name__: f for f in (op1_personal_data, op2_preference_quality, op3_parity_join, op4_token_store, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {}
