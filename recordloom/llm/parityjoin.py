@@ -10,16 +10,20 @@ untouched and equal: parts are joined on equality, per band of sizes.
   in one band or in neighbours; each text stands in the scheme of its own band
   and in that of the band below.
 * Schemes up to 48 shingles have one part per shingle: every link shares one.
-  Larger schemes have 0.4 parts per shingle, of which 48 are joined. A linked
-  pair at the threshold leaves a part untouched with probability 0.458 or more,
-  so it has no equal part among 44 filled ones with probability 2e-12 at most
-  (parts are chosen by hash, not by place in the text).
+  Larger schemes have 0.4 parts per shingle, 48 at least, of which 48 are
+  joined. A linked pair at the threshold leaves a part untouched with
+  probability 0.458 or more, so it has no equal part among 44 filled ones with
+  probability 2e-12 at most (parts are chosen by hash, not by place in the text).
+* A linked pair has many equal parts, so a text that shares fewer than 5 part
+  values with any other text has no link (1e-7 for a pair at the threshold);
+  with one part per shingle it has to share four fifths, which is exact.
 * Equal sets are one class before the join. Within the texts of one part value
   only a star of links to the smallest text is tried first. Texts that are in
-  one component already need no more; other pairs of a group of up to 64 are
-  compared directly. A text of which at least 40 part values lie in such small
-  groups needs no larger one; for those left over in larger groups, stars
-  with other centres follow, and what still stands apart is compared in pairs.
+  one component already need no more; other texts of a group of up to 64 are
+  compared by their sketches, as matrices, so that only possible pairs get rows. A text of which at least 30 part values lie in such small
+  groups needs no larger one (1e-8; with one part per shingle, one in five,
+  which is exact). For those left over in larger groups, stars with other
+  centres follow, and what still stands apart is compared in tiles of 256.
 * Candidates pass the sketch bound, then are verified on the shingle hashes.
 
 Nothing is capped: a pair is skipped only if it is linked through others or
@@ -43,8 +47,10 @@ from recordloom.llm.shingles import mix, shingle_set, word_hashes
 RATIO = 1.25
 WHOLE = 48
 PARTS = 48
-ENOUGH = 40
+ENOUGH = 30
+SHARED = 5
 SMALL_GROUP = 64
+TILE = 256
 STARS = 3
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, parts array<long>, bits binary"
 
@@ -60,7 +66,7 @@ def part_values(shingles: np.ndarray, number: int) -> np.ndarray:
     if low <= WHOLE:
         words = shingles
     else:
-        count = np.uint64(math.ceil(0.4 * low))
+        count = np.uint64(max(PARTS, math.ceil(0.4 * low)))
         place = (shingles >> np.uint64(20)) % count
         chosen = place < PARTS
         place, inside = place[chosen].astype(np.int64), shingles[chosen]
@@ -71,6 +77,17 @@ def part_values(shingles: np.ndarray, number: int) -> np.ndarray:
     return (mix(words ^ mix(np.array([number + 77], np.uint64))) & ~np.uint64(0xFF)) | tag
 
 
+def number_of(part: Column) -> Column:
+    """Scheme of a part value."""
+    return F.col(part).bitwiseAND(F.lit(0xFF))
+
+
+def by_shingle(number: Column) -> Column:
+    """Whether a scheme has one part per shingle (the byte of scheme -1 is 255)."""
+    last = max(n for n in range(200) if RATIO**n <= WHOLE)
+    return (number <= last) | (number == 255)
+
+
 def bit_sketch(shingles: np.ndarray) -> bytes:
     """One parity bit per shingle; the width is a power of two near twice the set's size."""
     width = 64
@@ -140,6 +157,35 @@ def overlap(a: bytes, b: bytes) -> int:
     return int(np.minimum(cu[i], cv[j]).sum())
 
 
+def possible_in_group(members: list, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a group that size and sketch allow and that stand in different components."""
+    by_width: dict[int, list] = {}
+    for m in members:
+        by_width.setdefault(len(m["bits"]), []).append(m)
+    found = set()
+    widths = sorted(by_width)
+    for i, w in enumerate(widths):
+        for v in widths[i:]:
+            small, large = by_width[w], by_width[v]
+            x = np.frombuffer(b"".join(m["bits"] for m in small), "<u8").reshape(len(small), -1)
+            y = np.frombuffer(b"".join(m["bits"] for m in large), "<u8").reshape(len(large), -1)
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            n, k = np.array([m["n"] for m in small]), np.array([m["n"] for m in large])
+            r, q = np.array([m["root"] for m in small]), np.array([m["root"] for m in large])
+            step = max(1, (1 << 21) // y.size)
+            for at in range(0, len(small), step):
+                some = slice(at, at + step)
+                apart = np.bitwise_count(x[some, None, :] ^ y[None, :, :]).sum(-1, dtype=np.int64)
+                total = n[some, None] + k[None, :]
+                fits = (apart <= total * (100 - percent) // (100 + percent)) & (r[some, None] != q[None, :])
+                fits &= 100 * np.minimum(n[some, None], k[None, :]) >= percent * np.maximum(n[some, None], k[None, :])
+                for a, b in zip(*np.nonzero(fits)):
+                    one, two = small[at + a]["id"], large[b]["id"]
+                    found.add((min(one, two), max(one, two)))
+    return sorted(found)
+
+
 class Verifier:
     """Links among candidate pairs, decided on exact sets."""
 
@@ -162,6 +208,31 @@ class Verifier:
         sized = pairs.join(right, "b").join(left, "a").where("100 * least(na, nb) >= 80 * greatest(na, nb)".replace("80", str(percent)))
         return sized.where(near("na", "nb", "bits_a", "bits_b")).select("a", "b", "na", "nb")
 
+    def possible_in_groups(self, named: DataFrame) -> DataFrame:
+        """Possible pairs among the texts of each part value, from rows of ``part``, ``id`` and ``root``.
+
+        A group is cut into tiles; every two tiles meet in one row of at most
+        about twice the tile size, so no group stands in one task.
+        """
+        percent = self.percent
+        tiles = named.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        member = F.struct("id", "root", "n", "bits")
+        dealt = (
+            named.join(tiles, "part").join(self.reps.select("id", "n", "bits"), "id")
+            .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+            .select("part", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), member.alias("member"))
+        )
+        met = dealt.groupBy("part", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")).agg(
+            F.collect_list("member").alias("members")
+        )
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                pairs = [p for members in batch["members"] for p in possible_in_group(list(members), percent)]
+                yield pd.DataFrame(pairs, columns=["a", "b"])
+
+        return met.select("members").mapInPandas(run, "a long, b long").distinct()
+
     def links(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
         pairs = staged(self.possible(pairs), "possible-pairs")
@@ -203,7 +274,19 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, *, width: int =
     reps = staged(reps, "class-representatives")
     values = reps.select("id", F.explode("parts").alias("part"))
     groups = values.groupBy("part").agg(F.count("*").alias("g"), F.min("id").alias("centre")).where("g > 1")
-    shared = staged(values.join(groups, "part"), "shared-parts")
+    shared = staged(values.join(groups, "part").withColumn("scheme", number_of("part")), "shared-parts")
+    total = reps.select("id", F.explode(F.transform("parts", lambda x: x.bitwiseAND(F.lit(0xFF)))).alias("scheme"))
+    total = total.groupBy("id", "scheme").agg(F.count("*").alias("all"))
+    big = F.sum(F.when(F.col("g") > SMALL_GROUP, 1).otherwise(0))
+    known_parts = shared.groupBy("id", "scheme").agg(F.count("*").alias("some"), big.alias("hot")).join(total, ["id", "scheme"])
+    exact = by_shingle(F.col("scheme"))
+    known_parts = known_parts.where(F.when(exact, 100 * F.col("some") >= percent * F.col("all")).otherwise(F.col("some") >= SHARED))
+    cold = F.col("all") - F.col("hot")
+    needy = F.when(exact, 100 * cold <= (100 - percent) * F.col("all")).otherwise(cold < ENOUGH)
+    known_parts = known_parts.select("id", "scheme", needy.alias("needy"))
+    shared = shared.drop("g", "centre").join(known_parts, ["id", "scheme"])
+    groups = shared.groupBy("part").agg(F.count("*").alias("g"), F.min("id").alias("centre")).where("g > 1")
+    shared = staged(shared.join(groups, "part"), "promising-parts")
 
     rows = base.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text")
     rows = rows.join(reps.select("id"), "id", "left_semi")
@@ -217,21 +300,12 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, *, width: int =
         """Rows of those part values whose texts stand in several components, with the component."""
         named = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = named.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        return named.join(open_.select("part"), "part", "left_semi")
+        return named.join(open_.select("part"), "part", "left_semi").select("part", "id", "root")
 
-    small = apart(shared.where(F.col("g") <= SMALL_GROUP)).groupBy("part").agg(
-        F.collect_list(F.struct("id", "root")).alias("all")
-    )
-    pairs = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    pairs = pairs.where("x.id < y.id and x.root != y.root").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = verify.possible_in_groups(apart(shared.where(F.col("g") <= SMALL_GROUP)))
     links = links.unionByName(verify.links(pairs.join(tried, ["a", "b"], "left_anti")))
 
-    crowded = shared.where(F.col("g") > SMALL_GROUP)
-    number = lambda c: c.bitwiseAND(F.lit(0xFF))
-    hot = crowded.groupBy("id", number(F.col("part")).alias("scheme")).agg(F.count("*").alias("hot"))
-    total = reps.select("id", F.explode("parts").alias("part")).groupBy("id", number(F.col("part")).alias("scheme")).count()
-    needy = hot.join(total, ["id", "scheme"]).where((F.col("count") - F.col("hot") < ENOUGH)).select("id", "scheme")
-    crowded = crowded.withColumn("scheme", number(F.col("part"))).join(needy, ["id", "scheme"], "left_semi").drop("scheme", "centre")
+    crowded = shared.where((F.col("g") > SMALL_GROUP) & F.col("needy")).select("id", "part")
     crowded = staged(crowded, "crowded-parts")
     for turn in range(STARS):
         if crowded.isEmpty():
@@ -247,10 +321,7 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, *, width: int =
             named = named.join(own, "centre", "left").where("root != coalesce(centre_root, centre)")
             links = links.unionByName(verify.links(star(named)))
         else:
-            x = left.select("part", F.col("id").alias("a"), F.col("root").alias("ra"))
-            y = left.select("part", F.col("id").alias("b"), F.col("root").alias("rb"))
-            rest = x.join(y, "part").where("ra < rb").select("a", "b").distinct()
-            links = links.unionByName(verify.links(rest))
+            links = links.unionByName(verify.links(verify.possible_in_groups(left)))
     roots = components(links).withColumnRenamed("node", "id")
     of_class = classes.join(roots, "id", "left").select("n_shingles", "key1", "key2", F.coalesce("root", "id").alias("component"))
     return known.alias("k").join(of_class.alias("c"), at, "left").select(
