@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import SPACE, removed, staged, words
+from recordloom.llm.shared import SPACE, staged, words
 
 # Frequent words of each language.
 COMMON = {
@@ -20,9 +20,9 @@ COMMON = {
     "fr": ("le", "la", "de", "et", "les", "des", "est", "que"),
     "es": ("el", "los", "en", "y", "por", "una", "con", "se"),
 }
-# Patterns of character classes, beside white space, symbols, other scripts and the rest.
-CLASSES = (r"[A-Z]+", r"[0-9]+", r"[.,;:!?'\"()-]+")
-SYMBOLS = r"[#*$%&|<>]+"
+# Capitals, digits and punctuation; the other classes are white space, symbols, other scripts and the rest.
+MARKS = r"[A-Z0-9.,;:!?'\"()-]"
+SYMBOLS = r"[#*$%&|<>]"
 
 
 def windows(tokens: Column, width: int) -> Column:
@@ -71,7 +71,7 @@ def base_counts(rows: DataFrame) -> DataFrame:
             "words",
             F.size("words").cast("long").alias("n_words"),
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-            removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+            F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             covered(F.col("grams"), 5).alias("n_repeat_words"),
         )
@@ -84,9 +84,9 @@ def histograms(counted: DataFrame) -> DataFrame:
     length = F.length("text")
     spaces = length - F.col("word_chars")
     foreign = F.octet_length("text") - length
-    classes = [removed(F.col("text"), p) for p in CLASSES] + [spaces, F.col("n_symbols"), foreign]
+    classes = [F.regexp_count("text", F.lit(MARKS)), spaces, F.col("n_symbols"), foreign]
     rest = F.greatest(F.lit(0), length - sum(classes[1:], classes[0]))
-    found = F.filter("words", lambda w: F.lower(w).isin(*vocabulary))
+    found = F.filter("words", lambda w: w.isin(*vocabulary, *map(str.capitalize, vocabulary), *map(str.upper, vocabulary)))
     lower = F.transform(found, lambda w: F.lower(w))
     commons = [F.size("found") - F.size(F.array_remove("found", w)) for w in vocabulary]
     return counted.withColumn("found", lower).select(
@@ -101,7 +101,7 @@ def references(counted: DataFrame, lang: Column) -> dict[str, tuple[list[float],
 
     Every class gets one extra count, so that no reference holds a zero.
     """
-    sizes = {"classes": len(CLASSES) + 4, "commons": sum(map(len, COMMON.values())) + 1}
+    sizes = {"classes": 5, "commons": sum(map(len, COMMON.values())) + 1}
     sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
     rows = counted.where(lang.isin(*COMMON)).groupBy(lang.alias("lang")).agg(*sums).collect()
     out = {}
