@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, packing, parityjoin, pii, preference, rules, tokenstore, urls
+from recordloom.llm import graphsearch, mixing, packing, parityjoin, pii, preference, rules, tokenstore, urls
 from recordloom.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.query(table(spark, folder, "documents"))
 
 
+def op6_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    return graphsearch.query(table(spark, folder, "embeddings"))
+
+
 def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.query(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
@@ -43,6 +47,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_preference_quality, op3_parity_join, op4_token_store, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
+    f.__name__: f for f in (op1_personal_data, op2_preference_quality, op3_parity_join, op4_token_store, op6_graph_search, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {}
