@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import graphsearch, mixing, packing, parityjoin, pii, preference, rules, tokenstore, urls
+import corpus_pipeline
+from recordloom.llm import graphsearch, mixing, packing, parityjoin, pii, preference, repeats, rules, tokenstore, urls
 from recordloom.llm.shared import table
 
 
@@ -26,6 +27,10 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.query(table(spark, folder, "documents"))
 
 
+def op5_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.query(table(spark, folder, "documents"))
+
+
 def op6_graph_search(spark: SparkSession, folder: str) -> DataFrame:
     return graphsearch.query(table(spark, folder, "embeddings"))
 
@@ -46,7 +51,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.query(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_preference_quality, op3_parity_join, op4_token_store, op6_graph_search, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules)
+    f.__name__: f for f in (op1_personal_data, op2_preference_quality, op3_parity_join, op4_token_store, op5_bucket_refinement, op6_graph_search, op7_url_rules, op8_retrieval_packing, op9_source_mix, op10_quality_rules, pipeline)
 }
 ORACLE: dict[str, str] = {}
