@@ -23,7 +23,7 @@ untouched and equal: parts are joined on equality, per band of sizes.
   compared by their sketches, as matrices, so that only possible pairs get rows. A text of which at least 30 part values lie in such small
   groups needs no larger one (1e-8; with one part per shingle, one in five,
   which is exact). For those left over in larger groups, stars with other
-  centres follow, and what still stands apart is compared in tiles of 256.
+  centres follow, and what still stands apart is compared in tiles of 1024.
 * Candidates pass the sketch bound, then are verified on the shingle hashes.
 
 Nothing is capped: a pair is skipped only if it is linked through others or
@@ -50,7 +50,7 @@ PARTS = 48
 ENOUGH = 30
 SHARED = 5
 SMALL_GROUP = 64
-TILE = 256
+TILE = 1024
 STARS = 3
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, parts array<long>, bits binary"
 
