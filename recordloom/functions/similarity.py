@@ -31,7 +31,7 @@ def block_key(name: Column) -> Column:
     kept and the rest coded behind a vowel, which carries no code of its own.
     """
     word = F.split(name, " ", 2)[0]
-    after_digit = F.substring(F.soundex(F.concat(F.lit("a"), F.substring(word, 2, 1_000_000))), 2, 3)
+    after_digit = F.substring(F.soundex(F.concat(F.lit("a"), F.substr(word, F.lit(2)))), 2, 3)
     return F.when(
         word.rlike("^[0-9]"), F.concat(F.substring(word, 1, 1), after_digit)
     ).otherwise(F.soundex(word))

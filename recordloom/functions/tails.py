@@ -25,6 +25,11 @@ def chi_square_upper(x: float, dof: int) -> float:
     return min(total, 1.0)
 
 
+_STEPS = 100_000
+# Beyond these degrees the gamma differences below lose digits; the tail is normal by then.
+_NORMAL_DOF = 1e7
+
+
 def _beta_ratio(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction (Lentz's method)."""
     if x <= 0:
@@ -39,7 +44,7 @@ def _beta_ratio(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     value = c = 1.0
     d = 0.0
-    for step in range(2000):
+    for step in range(_STEPS):
         m = step // 2
         if step == 0:
             term = 1.0
@@ -52,15 +57,21 @@ def _beta_ratio(a: float, b: float, x: float) -> float:
         c = 1 + term / (c if abs(c) > tiny else tiny)
         value *= c * d
         if abs(1 - c * d) < 1e-15:
-            break
-    return front * (value - 1.0)
+            return front * (value - 1.0)
+    raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    if dof >= _NORMAL_DOF:
+        # First correction term of the expansion in 1 / dof.
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return normal_two_sided(t) + density * (abs(t) ** 3 + abs(t)) / (2 * dof)
     return _beta_ratio(dof / 2, 0.5, dof / (dof + t * t))
 
 
 def f_upper(f: float, dof_between: float, dof_within: float) -> float:
     if f <= 0:
         return 1.0
+    if dof_between == 1:
+        return t_two_sided(math.sqrt(f), dof_within)
     return _beta_ratio(dof_within / 2, dof_between / 2, dof_within / (dof_within + dof_between * f))

@@ -43,6 +43,9 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
 
 
+# How a real time is written as text; the reading below takes it as it stands.
+TYPED_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_TYPED = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$"
 _CLOCK = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?\s*$"
 _DAY_FIRST = r"^\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})" + _CLOCK
 _YEAR_FIRST = r"^\s*(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})" + _CLOCK
@@ -52,7 +55,8 @@ def parse_entry_date(text: Column, iso_day_first: bool = False) -> Column:
     """Timestamp without zone from day-first or ISO text; unreadable gives NULL.
 
     A day-first text whose second number cannot be a month is read month
-    first. ``iso_day_first`` reads ``2023-09-03`` as 9 March.
+    first. ``iso_day_first`` reads ``2023-09-03`` as 9 March. Text that was a
+    real time (see ``TYPED_TIME``) is never turned around.
     """
     year_first = text.rlike(_YEAR_FIRST)
 
@@ -68,7 +72,8 @@ def parse_entry_date(text: Column, iso_day_first: bool = False) -> Column:
         month, day = pick(2, 2), pick(3, 1)
     swapped = (month > 12) & (day <= 12)
     zero = F.lit(0)
-    return F.try_make_timestamp_ntz(
+    typed = F.try_to_timestamp(F.when(text.rlike(_TYPED), text)).cast("timestamp_ntz")
+    parsed = F.try_make_timestamp_ntz(
         year,
         F.when(swapped, day).otherwise(month),
         F.when(swapped, month).otherwise(day),
@@ -76,6 +81,7 @@ def parse_entry_date(text: Column, iso_day_first: bool = False) -> Column:
         F.coalesce(pick(5, 5), zero),
         F.coalesce(pick(6, 6), zero).cast("decimal(8,6)"),
     )
+    return F.coalesce(typed, parsed)
 
 
 def patient_type_code(answer: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import typed
 from ..functions.text import round_half_even
@@ -51,12 +50,13 @@ def band_counts(df: DataFrame, age: str = "age") -> DataFrame:
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Rows per value and percent of all rows with a value, one decimal.
 
-    The window runs over the counted values, not over the rows.
+    The total is one row, joined back; the counted values are not gathered.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    share = round_half_even(100 * F.col("n") / total, 1).alias("pct")
-    return counts.select(column, "n", share).orderBy(F.desc("n"), column)
+    total = counts.agg(F.sum("n").alias("_total")).withColumn("_one", F.lit(1))
+    share = round_half_even(100 * F.col("n") / F.col("_total"), 1).alias("pct")
+    joined = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    return joined.select(column, "n", share).orderBy(F.desc("n"), column)
 
 
 def percent(condition: Column, among: Column | None = None) -> Column:

@@ -33,6 +33,8 @@ THRESHOLD = 0.85
 YEAR, ORDER, NAME = "annee", "visit_no", "nom_complet_norm"
 # Rows of one join key handled by one tile; more rows mean more tiles.
 TILE_ROWS = 4096
+# Copies of the counts of crowded keys where these are too many to broadcast.
+SALTS = 64
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 _RANK_BUCKETS = 1024
 _SLACK = 1e-9
@@ -145,12 +147,21 @@ def _tiled_join(left: DataFrame, right: DataFrame, keys: list[str], condition: C
     )
     few = few_rows_or_none(crowded)
     if few is None or few:
-        if few:
-            crowded = F.broadcast(left.sparkSession.createDataFrame(few, crowded.schema))
         own = F.pmod(F.xxhash64("cell"), F.coalesce("tiles", F.lit(1))).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
-        left = left.join(crowded, keys, "left").select(*left.columns, own.alias("tile_l"), others.alias("tile_r"))
-        right = right.join(crowded, keys, "left").select(*right.columns, own.alias("tile_r"), others.alias("tile_l"))
+        plain = left.columns, right.columns
+        if few:
+            crowded = F.broadcast(left.sparkSession.createDataFrame(few, crowded.schema))
+            met = keys
+        else:
+            # Many crowded keys: the counts are copied to every salt, so that
+            # the rows of a crowded key spread whatever the size of the sides.
+            met = [*keys, "salt"]
+            crowded = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salt = F.pmod(F.xxhash64("cell"), F.lit(SALTS)).cast("int")
+            left, right = left.withColumn("salt", salt), right.withColumn("salt", salt)
+        left = left.join(crowded, met, "left").select(*plain[0], own.alias("tile_l"), others.alias("tile_r"))
+        right = right.join(crowded, met, "left").select(*plain[1], own.alias("tile_r"), others.alias("tile_l"))
         keys = [*keys, "tile_l", "tile_r"]
     equal = reduce(lambda a, b: a & b, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     return left.alias("l").join(right.alias("r"), equal & condition)
@@ -277,6 +288,13 @@ class KeepFirst:
     links: DataFrame
 
 
+def _open_links(neighbours: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """Links whose two ends are both still open; no other can matter in later rounds."""
+    cells = open_rows.select(YEAR, "cell").distinct()
+    both = neighbours.join(cells, [YEAR, "cell"], "left_semi")
+    return both.join(cells.withColumnRenamed("cell", "other"), [YEAR, "other"], "left_semi").select(*neighbours.columns)
+
+
 def keep_first(classes: DataFrame, threshold: float = THRESHOLD) -> KeepFirst:
     """Solve the order rule over classes.
 

@@ -85,16 +85,33 @@ def clean_eav(raw: DataFrame, repair: bool = True) -> DataFrame:
     distinct = few_rows_or_none(raw.select("attribut").distinct())
     if distinct is None:
         return _with_attribute_keys(cells, repair)
-    seen = raw.sparkSession.createDataFrame(distinct, "attribut string")
+    return _with_known_keys(cells, distinct, repair)
+
+
+def _with_known_keys(cells: DataFrame, distinct: list, repair: bool) -> DataFrame:
+    """Keys looked up in a broadcast table of the attributes seen when planning.
+
+    A row whose attribute is not among them (the table grew meanwhile) keeps
+    its place: its keys are computed from the row itself.
+    """
+    spark = cells.sparkSession
+    seen = spark.createDataFrame(distinct, "attribut string")
     known = _with_attribute_keys(seen.withColumn("_seen", F.col("attribut")), repair)
-    matched = F.col("_raw").eqNullSafe(F.col("_seen"))
-    joined = cells.withColumnRenamed("attribut", "_raw").join(F.broadcast(known), matched)
-    return joined.drop("_raw", "_seen")
+    keys = [c for c in known.columns if c != "_seen"]
+    known = known.select("_seen", F.lit(True).alias("_known"), *[F.col(c).alias(f"_k_{c}") for c in keys])
+    raw_cells = cells.withColumn("_raw", F.col("attribut"))
+    joined = raw_cells.join(F.broadcast(known), F.col("_raw").eqNullSafe(F.col("_seen")), "left")
+    # Known rows get their keys from the table; NULL makes their own ones cheap.
+    unknown = joined.withColumn("attribut", F.when(F.col("_known").isNull(), F.col("attribut")))
+    own = _with_attribute_keys(unknown, repair)
+    kept = [c for c in own.columns if c not in keys and not c.startswith("_k_") and c not in ("_raw", "_seen", "_known")]
+    looked_up = [F.when(F.col("_known"), F.col(f"_k_{c}")).otherwise(F.col(c)).alias(c) for c in keys]
+    return own.select(*kept, *looked_up)
 
 
 def _order() -> Column:
-    # The item breaks ties, so a repeated row number still gives one result.
-    return F.struct("row_no", "item")
+    # Item and answer break ties, so a repeated row number still gives one result.
+    return F.struct("row_no", "item", "reponse")
 
 
 def _first(value: Column, where: Column) -> Column:

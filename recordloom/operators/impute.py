@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import Window
 
 from ..functions import labels
 from ..functions.text import round_half_even
-from ..session import few_rows, settled, small_side, staged
+from ..session import settled, small_side, staged
 
 YEAR = "annee"
 SEED = 42
@@ -89,7 +90,8 @@ def sex_code(sex: Column) -> Column:
 
 
 def sex_from_code(code: Column) -> Column:
-    nearest = F.greatest(F.least(round_half_even(code), F.lit(1.0)), F.lit(0.0))
+    # greatest and least skip NULL, so an unknown code has to be kept apart.
+    nearest = F.when(code.isNotNull(), F.greatest(F.least(round_half_even(code), F.lit(1.0)), F.lit(0.0)))
     return F.when(nearest == 0, F.lit(labels.MALE)).when(nearest == 1, F.lit(labels.FEMALE))
 
 
@@ -211,18 +213,25 @@ def _rounded(df: DataFrame, age: Column, sex: Column) -> DataFrame:
 def mice(df: DataFrame, rounds: int = 10) -> DataFrame:
     """Chained regressions of age and sex on each other, one completion.
 
-    One aggregate gives the moments of every year (one small row each); the
-    result is a projection.
+    One aggregate gives the moments of every year, one row each; a year is
+    fitted from its row wherever that row is, so any number of years will do.
+    A year without a known age or without a known sex has no fit: its gaps stay
+    NULL in ``age_imp``, and an unknown sex stays unknown.
     """
-    spark = df.sparkSession
-    fills = []
-    for row in few_rows(_known_moments(df)):
-        fitted = _chained_fills(row.asDict(), rounds)
-        if fitted:
-            age, sex = fitted
-            fills.append((row[YEAR], age.intercept, age.slope, age.both, sex.intercept, sex.slope, sex.both))
-    schema = f"{YEAR} int, _ai double, _ak double, _ab double, _si double, _sk double, _sb double"
-    lines = small_side(spark.createDataFrame(fills, schema))
+    names = ["_ai", "_ak", "_ab", "_si", "_sk", "_sb"]
+
+    def fit(batches):
+        for batch in batches:
+            fills = []
+            for row in batch.to_dict("records"):
+                fitted = _chained_fills(row, rounds)
+                if fitted:
+                    age, sex = fitted
+                    fills.append((row[YEAR], age.intercept, age.slope, age.both, sex.intercept, sex.slope, sex.both))
+            yield pd.DataFrame(fills, columns=[YEAR, *names])
+
+    moments = staged(_known_moments(df), "moments")
+    lines = small_side(moments.mapInPandas(fit, f"{YEAR} int, " + ", ".join(f"{n} double" for n in names)))
     age, sex = F.col("age").cast("double"), sex_code(F.col("sexe"))
     filled_age = F.coalesce(age, F.col("_ai") + F.col("_ak") * sex, F.col("_ab"))
     filled_sex = F.coalesce(sex, F.col("_si") + F.col("_sk") * age, F.col("_sb"))
@@ -230,7 +239,9 @@ def mice(df: DataFrame, rounds: int = 10) -> DataFrame:
     return out.drop("_ai", "_ak", "_ab", "_si", "_sk", "_sb")
 
 
-def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e-3) -> DataFrame:
+def _forest_year(
+    rows: DataFrame, rounds: int, trees: int, depth: int, bins: int | None, tolerance: float = 1e-3
+) -> DataFrame:
     """Chained forests for one year.
 
     A filled value depends only on what is known in the row, so the state is
@@ -263,8 +274,7 @@ def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e
             .select(F.col(f"r._{target}").alias("label"), F.col(f"c.{feature}_now").alias("x"))
         )
         assembler = VectorAssembler(inputCols=["x"], outputCol="features")
-        # One feature: eight levels and 256 bins can part all whole ages.
-        forest = RandomForestRegressor(numTrees=trees, seed=SEED, maxDepth=8, maxBins=256, maxMemoryInMB=512)
+        forest = RandomForestRegressor(numTrees=trees, seed=SEED, maxDepth=depth, maxBins=bins, maxMemoryInMB=512)
         model = forest.fit(assembler.transform(train))
         scored = model.transform(assembler.transform(state.withColumn("x", F.col(f"{feature}_now"))))
         return scored.select(
@@ -275,6 +285,10 @@ def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e
             ],
         )
 
+    if bins is None:
+        # Enough bins to part all values a feature can take.
+        kinds = cells.agg(F.count_distinct("_age").alias("age"), F.count_distinct("_sex").alias("sex")).first()
+        bins = max(32, 2 * max(kinds) + 2)
     order = [("age", "sex"), ("sex", "age")]
     if means["age_gaps"] > means["sex_gaps"]:
         order.reverse()
@@ -292,13 +306,19 @@ def _forest_year(rows: DataFrame, rounds: int, trees: int, tolerance: float = 1e
     return state
 
 
-def random_forest(df: DataFrame, rounds: int = 5, trees: int = 50) -> DataFrame:
-    """Chained random forests of age and sex on each other, year by year."""
+def random_forest(df: DataFrame, rounds: int = 5, trees: int = 50, depth: int = 12, bins: int | None = None) -> DataFrame:
+    """Chained random forests of age and sex on each other, year by year.
+
+    ``depth`` levels can part 2 ** depth values of the one feature; ``bins``
+    follow from the number of distinct values unless given. Years are read from
+    a written list one by one; their number is not limited, but each is a fit.
+    """
     known = df.select(YEAR, F.col("age").cast("double").alias("_age"), sex_code(F.col("sexe")).alias("_sex"))
     known = staged(known, "forest-input")
     filled = None
-    for row in few_rows(known.select(YEAR).distinct()):
-        one = _forest_year(known.filter(F.col(YEAR) == row[YEAR]), rounds, trees)
+    years = staged(known.select(YEAR).distinct(), "forest-years")
+    for row in years.orderBy(YEAR).toLocalIterator():
+        one = _forest_year(known.filter(F.col(YEAR).eqNullSafe(F.lit(row[YEAR]))), rounds, trees, depth, bins)
         one = one.withColumn(YEAR, F.lit(row[YEAR]))
         filled = one if filled is None else filled.unionByName(one)
     if filled is None:
@@ -306,7 +326,7 @@ def random_forest(df: DataFrame, rounds: int = 5, trees: int = 50) -> DataFrame:
     filled = small_side(filled).withColumnRenamed(YEAR, "_year")
     age, sex = F.col("age").cast("double"), sex_code(F.col("sexe"))
     matched = (
-        (F.col(YEAR) == F.col("_year"))
+        F.col(YEAR).eqNullSafe(F.col("_year"))
         & age.eqNullSafe(F.col("_age"))
         & sex.eqNullSafe(F.col("_sex"))
     )

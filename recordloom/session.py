@@ -26,20 +26,25 @@ def keep_methods_compilable(spark: SparkSession) -> None:
         spark.conf.set(_METHOD_LIMIT, "8000")
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's ``spark.checkpoint.dir``.
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local path would be lost with its executor.
+    Only a local session with neither gets a temporary folder, one per
+    application; on a cluster a machine-local path would be lost with its
+    executor. The session's settings are left as they are.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="recordloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="recordloom-")
+    return _local_folders[app]
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.typed import TYPED_TIME
+
 # Names given by position to the columns of a raw export.
 RAW_COLUMNS = ("titre", "attribut", "patient", "dossier", "date_entree", "reponse")
 ORDER_COLUMN = "row_no"
@@ -25,6 +27,18 @@ CLEAN_SCHEMA = (
 CLEAN_COLUMNS = tuple(part.split()[0] for part in CLEAN_SCHEMA.split(", "))
 
 
+# Columns that a raw export may leave out of a clean table; they are NULL then.
+OPTIONAL_CLEAN = ("trauma_type",)
+
+
+def _raw_cell(df: DataFrame, name: str) -> Column:
+    """A cell as text. Real times are written year first, which is read back unambiguously."""
+    cell = F.col(f"`{name}`")
+    if dict(df.dtypes)[name] in ("date", "timestamp", "timestamp_ntz"):
+        return F.date_format(cell, TYPED_TIME)
+    return cell.cast("string")
+
+
 def raw_eav(df: DataFrame, year: int, order_column: str = ORDER_COLUMN) -> DataFrame:
     """Name the six raw columns by position and add the year.
 
@@ -38,7 +52,7 @@ def raw_eav(df: DataFrame, year: int, order_column: str = ORDER_COLUMN) -> DataF
         raise ValueError(f"expected {len(RAW_COLUMNS)} columns, found {len(values)}")
     return df.select(
         F.col(order_column).cast("bigint").alias(ORDER_COLUMN),
-        *[F.col(f"`{old}`").cast("string").alias(new) for old, new in zip(values, RAW_COLUMNS)],
+        *[_raw_cell(df, old).alias(new) for old, new in zip(values, RAW_COLUMNS)],
         F.lit(year).cast("int").alias("annee"),
     )
 
@@ -58,13 +72,19 @@ def read_raw_years(spark: SparkSession, paths: dict[int, str], fmt: str = "parqu
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    """Clean table from CSV with a header; columns in the order of CLEAN_SCHEMA.
+    """Clean table from CSV with a header; columns are found by their trimmed names.
 
-    Entry times that cannot be read become NULL.
+    Their order has no meaning and further columns are left out. A missing
+    column is an error unless it is one of OPTIONAL_CLEAN. Values that cannot
+    be read as their type become NULL.
     """
-    as_text = CLEAN_SCHEMA.replace("date_entree timestamp_ntz", "date_entree string")
-    rows = spark.read.option("header", True).option("enforceSchema", True).schema(as_text).csv(path)
-    return rows.withColumn("date_entree", F.col("date_entree").try_cast("timestamp_ntz"))
+    rows = trim_names(spark.read.option("header", True).csv(path))
+    kinds = dict(part.split() for part in CLEAN_SCHEMA.split(", "))
+    missing = [c for c in kinds if c not in rows.columns and c not in OPTIONAL_CLEAN]
+    if missing:
+        raise ValueError(f"clean table lacks the columns {missing}")
+    found = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit(None)
+    return rows.select(*[found(c).try_cast(kind).alias(c) for c, kind in kinds.items()])
 
 
 def trim_names(df: DataFrame) -> DataFrame:
