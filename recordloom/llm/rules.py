@@ -2,7 +2,7 @@
 
 A document passes if its base counts pass and its histograms of character
 classes and common words lie near those of at least one language. References
-are the pooled histograms of all documents of a language; nearness is the
+are the mean histograms of all documents of a language; nearness is the
 Jensen-Shannon distance (square root of the divergence in bits).
 """
 
@@ -97,19 +97,24 @@ def histograms(counted: DataFrame) -> DataFrame:
 
 
 def references(counted: DataFrame, lang: Column) -> dict[str, tuple[list[float], list[float]]]:
-    """Pooled histograms of every known language: one row per language, four at most.
+    """Mean histograms of every known language: one row per language, four at most.
 
-    Every class gets one extra count, so that no reference holds a zero.
+    Each document weighs the same, so a long one of noise changes little. Every
+    class gets a small share, so that no reference holds a zero.
     """
     sizes = {"classes": 5, "commons": sum(map(len, COMMON.values())) + 1}
-    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    rows = counted.where(lang.isin(*COMMON)).groupBy(lang.alias("lang")).agg(*sums).collect()
+    total = {c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x) for c in sizes}
+    shares = counted.where(lang.isin(*COMMON) & (F.col("n_words") > 0)).select(
+        lang.alias("lang"), *sizes, *[t.alias(f"{c}_total") for c, t in total.items()],
+    )
+    sums = [F.sum(F.get(c, F.lit(i)) / F.col(f"{c}_total")).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
+    rows = shares.groupBy("lang").agg(*sums).collect()
     out = {}
     for row in sorted(rows, key=lambda r: r["lang"]):
         parts = []
         for c, n in sizes.items():
-            counts = [row[f"{c}{i}"] + 1.0 for i in range(n)]
-            parts.append([x / sum(counts) for x in counts])
+            shares_ = [row[f"{c}{i}"] + 1e-3 for i in range(n)]
+            parts.append([x / sum(shares_) for x in shares_])
         out[row["lang"]] = tuple(parts)
     return out
 
@@ -133,7 +138,7 @@ def quality_rules(
     lang: Column,
     *,
     min_words: int = 50,
-    max_classes: float = 0.30,
+    max_classes: float = 0.22,
     max_commons: float = 0.30,
     carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
