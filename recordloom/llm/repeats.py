@@ -34,7 +34,7 @@ from recordloom.llm.shingles import BASE, BYTE_WORDS, UNBASE, mix, powers
 RUN = 200
 GRAM = 40
 REACH = RUN - GRAM
-FEW = 1024
+FEW = 8192
 PLACE_BITS = 20
 
 
@@ -106,10 +106,10 @@ def contexts(rows: DataFrame) -> DataFrame:
                 for a in asked:
                     p = a["place"]
                     left, right = data[max(0, p - REACH) : p], data[p : p + RUN]
-                    out.append((a["gram"], a["context"], REACH - len(left), len(right) - GRAM, left.rjust(REACH, b"\0") + right.ljust(RUN, b"\0")))
-            yield pd.DataFrame(out, columns=["gram", "context", "low", "high", "bytes"])
+                    out.append((a["gram"], a["context"], REACH - len(left), len(right) - GRAM, left.rjust(REACH, b"\0") + right.ljust(RUN, b"\0"), a["kinds"]))
+            yield pd.DataFrame(out, columns=["gram", "context", "low", "high", "bytes", "size"])
 
-    return rows.mapInPandas(run, "gram long, context long, low int, high int, bytes binary")
+    return rows.mapInPandas(run, "gram long, context long, low int, high int, bytes binary, size long")
 
 
 def repeated_runs(members: list, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
@@ -141,6 +141,7 @@ def repeated_runs(members: list, lo: int, hi: int) -> Iterator[tuple[int, int, i
 def refined(classes: DataFrame) -> DataFrame:
     """``gram``, ``context``, ``first``, ``last``: repeated runs of classes that share a first bucket."""
     found = None
+    key = ["bucket", "lo", "hi"]
     nodes = classes.select("*", F.lit(0).alias("lo"), F.lit(REACH).alias("hi"), F.col("gram").alias("bucket"))
     members = F.collect_list(F.struct("gram", "context", "low", "high", "bytes")).alias("members")
 
@@ -150,15 +151,12 @@ def refined(classes: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["gram", "context", "first", "last"])
 
     while True:
-        key = ["bucket", "lo", "hi"]
-        sizes = nodes.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1")
-        open_ = staged(nodes.join(sizes, key), "buckets")
-        single = open_.where("lo = hi").select("gram", "context", F.col("lo").alias("first"), F.col("hi").alias("last"))
-        small = open_.where((F.col("size") <= FEW) & (F.col("lo") < F.col("hi"))).groupBy(*key).agg(members)
+        single = nodes.where("lo = hi").select("gram", "context", F.col("lo").alias("first"), F.col("hi").alias("last"))
+        small = nodes.where((F.col("size") <= FEW) & (F.col("lo") < F.col("hi"))).groupBy(*key).agg(members)
         done = small.select("members", "lo", "hi").mapInPandas(compare, "gram long, context long, first int, last int").unionByName(single)
         done = staged(done, "repeated-runs")
         found = done if found is None else found.unionByName(done)
-        large = open_.where((F.col("size") > FEW) & (F.col("lo") < F.col("hi")))
+        large = nodes.where((F.col("size") > FEW) & (F.col("lo") < F.col("hi")))
         if large.isEmpty():
             return found
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
@@ -169,6 +167,11 @@ def refined(classes: DataFrame) -> DataFrame:
         # a bucket identifier for the bytes that all runs of the half have in common
         core = F.substring("bytes", F.col("hi") + 1, F.col("lo") + RUN - F.col("hi"))
         nodes = nodes.where("hi >= low and lo <= high").withColumn("bucket", F.xxhash64("gram", core))
+        sizes = nodes.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1")
+        nodes = staged(nodes.join(sizes, key), "buckets")
+
+
+ALL_RUNS = -1
 
 
 def drop_repeats(docs: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -189,19 +192,17 @@ def drop_repeats(docs: DataFrame, key: Column, text: Column) -> DataFrame:
     classes = staged(
         shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "twin", "place")).alias("one")), "anchor-classes"
     )
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    asked = classes.join(mixed, "gram").select("one.key", "one.twin", F.struct("one.place", "gram", "context").alias("ask"))
+    mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    asked = classes.join(mixed, "gram").select("one.key", "one.twin", F.struct("one.place", "gram", "context", "kinds").alias("ask"))
     asked = asked.groupBy("key", "twin").agg(F.collect_list("ask").alias("asked"))
-    # rows of equal key and text give the same bytes; one of them is enough
-    around = contexts(rows.select("key", "twin", "text").join(asked, ["key", "twin"]).select("asked", "text"))
-    around = staged(around.dropDuplicates(["gram", "context"]), "anchor-contexts")
-    some = refined(around)
-    whole = classes.where("n > 1").select("gram", "context")
-    reached = shared.join(whole, ["gram", "context"], "left_semi").select("key", "twin", "place", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    partly = shared.join(some, ["gram", "context"]).select("key", "twin", "place", "first", "last")
-    spans = reached.unionByName(partly).groupBy("key", "twin").agg(
-        F.collect_set(F.struct("place", "first", "last")).alias("spans")
-    )
+    # rows of equal key and text give a context twice; such a class is repeated anyway
+    around = staged(contexts(rows.select("key", "twin", "text").join(asked, ["key", "twin"]).select("asked", "text")), "anchor-contexts")
+    run = F.struct("first", "last")
+    whole = classes.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(ALL_RUNS).alias("first"), F.lit(ALL_RUNS).alias("last"))).alias("runs"))
+    some = refined(around).join(classes.where("n = 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    some = some.groupBy("gram", "context").agg(F.collect_list(run).alias("runs"))
+    spans = shared.join(whole.unionByName(some), ["gram", "context"]).select("key", "twin", F.struct("place", "runs").alias("span"))
+    spans = spans.groupBy("key", "twin").agg(F.collect_list("span").alias("spans"))
     spans = staged(spans, "repeated-spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,9 +211,8 @@ def drop_repeats(docs: DataFrame, key: Column, text: Column) -> DataFrame:
             for known, key, text, spans in zip(batch["known"], batch["key"], batch["text"], batch["spans"]):
                 data = as_array(text)
                 steps = np.zeros(len(data) + 1, np.int32)
-                for s in spans if spans is not None else ():
-                    p = int(s["place"])
-                    if s["first"] is None or s["first"] != s["first"]:  # all runs over this anchor that the text has
+                for p, s in ((int(s["place"]), r) for s in (spans if spans is not None else ()) for r in s["runs"]):
+                    if s["first"] == ALL_RUNS:
                         begin, end = max(0, p - REACH), min(len(data), p + RUN)
                     else:
                         begin, end = p - REACH + int(s["first"]), p - REACH + int(s["last"]) + RUN
