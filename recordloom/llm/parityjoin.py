@@ -208,11 +208,12 @@ class Verifier:
         sized = pairs.join(right, "b").join(left, "a").where("100 * least(na, nb) >= 80 * greatest(na, nb)".replace("80", str(percent)))
         return sized.where(near("na", "nb", "bits_a", "bits_b")).select("a", "b", "na", "nb")
 
-    def possible_in_groups(self, named: DataFrame) -> DataFrame:
+    def possible_in_groups(self, named: DataFrame, large: bool = False) -> DataFrame:
         """Possible pairs among the texts of each part value, from rows of ``part``, ``id`` and ``root``.
 
         A group is cut into tiles; every two tiles meet in one row of at most
-        about twice the tile size, so no group stands in one task.
+        about twice the tile size, so no group stands in one task. ``large``
+        groups are handed over one by one, small ones in batches.
         """
         percent = self.percent
         tiles = named.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
@@ -222,16 +223,21 @@ class Verifier:
             .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
             .select("part", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), member.alias("member"))
         )
-        met = dealt.groupBy("part", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")).agg(
-            F.collect_list("member").alias("members")
-        )
+        met = dealt.select("part", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "member")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def batches_of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 pairs = [p for members in batch["members"] for p in possible_in_group(list(members), percent)]
                 yield pd.DataFrame(pairs, columns=["a", "b"])
 
-        return met.select("members").mapInPandas(run, "a long, b long").distinct()
+        def one_group(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(possible_in_group(group.to_dict("records"), percent), columns=["a", "b"], dtype="int64")
+
+        if large:
+            flat = met.select("part", "lo", "hi", "member.*")
+            return flat.groupBy("part", "lo", "hi").applyInPandas(one_group, "a long, b long").distinct()
+        met = met.groupBy("part", "lo", "hi").agg(F.collect_list("member").alias("members"))
+        return met.select("members").mapInPandas(batches_of_groups, "a long, b long").distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -315,13 +321,12 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, *, width: int =
         if left.isEmpty():
             break
         if turn < STARS - 1:
-            centres = left.groupBy("part").agg(F.min_by("id", F.xxhash64("id", "part", F.lit(turn))).alias("centre"))
-            named = left.join(centres, "part")
-            own = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-            named = named.join(own, "centre", "left").where("root != coalesce(centre_root, centre)")
+            centre = F.min_by(F.struct(F.col("id").alias("centre"), F.col("root").alias("centre_root")), F.xxhash64("id", "part", F.lit(turn)))
+            centres = left.groupBy("part").agg(centre.alias("c")).select("part", "c.*")
+            named = left.join(centres, "part").where("root != centre_root")
             links = links.unionByName(verify.links(star(named)))
         else:
-            links = links.unionByName(verify.links(verify.possible_in_groups(left)))
+            links = links.unionByName(verify.links(verify.possible_in_groups(left, large=True)))
     roots = components(links).withColumnRenamed("node", "id")
     of_class = classes.join(roots, "id", "left").select("n_shingles", "key1", "key2", F.coalesce("root", "id").alias("component"))
     return known.alias("k").join(of_class.alias("c"), at, "left").select(
