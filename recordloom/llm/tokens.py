@@ -16,7 +16,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 # Parts longer than this are not kept, and a full cache starts anew: memory is bounded.
 LONGEST_KEPT = 48
-CACHE_SIZE = 800_000
+CACHE_SIZE = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
