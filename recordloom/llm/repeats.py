@@ -34,7 +34,7 @@ from recordloom.llm.shingles import BASE, BYTE_WORDS, UNBASE, mix, powers
 RUN = 200
 GRAM = 40
 REACH = RUN - GRAM
-FEW = 8192
+FEW = 2048
 PLACE_BITS = 20
 
 
