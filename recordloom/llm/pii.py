@@ -25,11 +25,12 @@ from recordloom.llm.shared import fresh, staged
 KINDS = ("email", "ip", "card", "phone")
 # Possessive runs and the look-behind keep long runs linear. They match where
 # the plain patterns do: a run that fails at its start fails at all later
-# places too, except after a match that ended inside it (\G).
+# places too, except after a match that ended inside it (\G). A card needs 14
+# digits; a shorter run of digits holds no longer one, so it is not matched.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
