@@ -73,7 +73,7 @@ def test_packing_places_every_id_once(documents, ids, shard, monkeypatch):
 
 def test_neighbours_share_rare_terms():
     rng = np.random.default_rng(2)
-    docs = [np.concatenate([rng.integers(0, 900, 30), np.full(5, 1000 + i // 2)]).astype("<u4") for i in range(20)]
+    docs = [np.concatenate([rng.integers(2000, 60_000, 30), np.full(5, 1000 + i // 2)]).astype("<u4") for i in range(20)]
     index = packing.Bm25(docs)
     for i in range(20):
         used = np.zeros(20, bool)
