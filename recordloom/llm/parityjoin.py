@@ -51,7 +51,7 @@ ENOUGH = 30
 SHARED = 5
 SMALL_GROUP = 64
 TILE = 1024
-STARS = 3
+STARS = 2
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, parts array<long>, bits binary"
 
 
