@@ -159,6 +159,16 @@ def refined(classes: DataFrame) -> DataFrame:
         large = nodes.where((F.col("size") > FEW) & (F.col("lo") < F.col("hi")))
         if large.isEmpty():
             return found
+        # members that agree in all bytes of their runs are repeated there; one stands for them from here on
+        alike = F.xxhash64(F.substring("bytes", F.col("lo") + 1, F.col("hi") - F.col("lo") + RUN), "low", "high")
+        large = large.withColumn("alike", alike)
+        groups = large.groupBy(*key, "alike").agg(F.count("*").alias("n"), F.min("context").alias("one"))
+        large = staged(large.join(groups, [*key, "alike"]), "large-buckets")
+        twins = large.where("n > 1").select(
+            "gram", "context", F.greatest("lo", "low").alias("first"), F.least("hi", "high").alias("last")
+        )
+        found = found.unionByName(twins.where("first <= last"))
+        large = large.where("context = one")
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
         nodes = large.withColumn("half", F.explode(halves)).select(
