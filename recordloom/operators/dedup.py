@@ -288,13 +288,6 @@ class KeepFirst:
     links: DataFrame
 
 
-def _open_links(neighbours: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """Links whose two ends are both still open; no other can matter in later rounds."""
-    cells = open_rows.select(YEAR, "cell").distinct()
-    both = neighbours.join(cells, [YEAR, "cell"], "left_semi")
-    return both.join(cells.withColumnRenamed("cell", "other"), [YEAR, "other"], "left_semi").select(*neighbours.columns)
-
-
 def keep_first(classes: DataFrame, threshold: float = THRESHOLD) -> KeepFirst:
     """Solve the order rule over classes.
 
