@@ -20,10 +20,13 @@ untouched and equal: parts are joined on equality, per band of sizes.
 * Equal sets are one class before the join. Within the texts of one part value
   only a star of links to the smallest text is tried first. Texts that are in
   one component already need no more; other texts of a group of up to 64 are
-  compared by their sketches, as matrices, so that only possible pairs get rows. A text of which at least 30 part values lie in such small
-  groups needs no larger one (1e-8; with one part per shingle, one in five,
-  which is exact). For those left over in larger groups, stars with other
-  centres follow, and what still stands apart is compared in tiles of 1024.
+  compared by their sketches, as matrices, so that only possible pairs get rows. The
+  equal parts of a linked pair may all lie in larger groups, and cold parts say
+  nothing about that: in a family of one template they are just those that the
+  edits touched. So only a text with fewer than 5 part values in larger groups
+  needs none of them (with one part per shingle, fewer than four fifths): one of
+  its equal parts is in a small group. For the others, stars with other centres
+  follow, and what still stands apart is compared in tiles of 1024.
 * Candidates pass the sketch bound, then are verified on the shingle hashes.
 
 Nothing is capped: a pair is skipped only if it is linked through others or
@@ -47,7 +50,6 @@ from recordloom.llm.shingles import mix, shingle_set, word_hashes
 RATIO = 1.25
 WHOLE = 48
 PARTS = 48
-ENOUGH = 30
 SHARED = 5
 SMALL_GROUP = 64
 TILE = 1024
@@ -287,8 +289,7 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, *, width: int =
     known_parts = shared.groupBy("id", "scheme").agg(F.count("*").alias("some"), big.alias("hot")).join(total, ["id", "scheme"])
     exact = by_shingle(F.col("scheme"))
     known_parts = known_parts.where(F.when(exact, 100 * F.col("some") >= percent * F.col("all")).otherwise(F.col("some") >= SHARED))
-    cold = F.col("all") - F.col("hot")
-    needy = F.when(exact, 100 * cold <= (100 - percent) * F.col("all")).otherwise(cold < ENOUGH)
+    needy = F.when(exact, 100 * F.col("hot") >= percent * F.col("all")).otherwise(F.col("hot") >= SHARED)
     known_parts = known_parts.select("id", "scheme", needy.alias("needy"))
     shared = shared.drop("g", "centre").join(known_parts, ["id", "scheme"])
     groups = shared.groupBy("part").agg(F.count("*").alias("g"), F.min("id").alias("centre")).where("g > 1")

@@ -75,6 +75,34 @@ def test_components_match_brute_force(spark, small, monkeypatch):
     assert got == joined(texts)
 
 
+def test_text_at_the_threshold_of_a_tight_family(spark):
+    """It links with one member, not the smallest id, and all their equal parts are crowded."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(409)]  # 405 shingles: nine words edited apart from each other give 360 / 450
+
+    def parts(words):
+        s = parityjoin.shingle_set(next(parityjoin.word_hashes([" ".join(words).encode()])), 5)
+        return [set(parityjoin.part_values(s, n).tolist()) for n in (parityjoin.scheme(len(s)), parityjoin.scheme(len(s)) - 1)]
+
+    def edited(places, tag):
+        return [f"{tag}x{i}" if i in places else w for i, w in enumerate(base)]
+
+    texts = {i: " ".join(edited({4 + 3 * i}, f"m{i}")) for i in range(120)}
+    texts[120] = " ".join(base)
+    whole, far, tried = parts(base), 0, 0
+    while far < 3:
+        places = {30 + 39 * i + 3 * rng.randrange(10) for i in range(9)}  # words that no member edits
+        words = edited(places, f"f{tried}")
+        tried += 1
+        if all(len(own - of_base) >= 30 for own, of_base in zip(parts(words), whole)):
+            texts[1000 + far] = " ".join(words)
+            far += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = joined(texts)
+    assert {c for _, c in want.values()} == {0}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in parityjoin.query(docs).collect()} == want
+
+
 def test_given_documents_and_odd_ones(documents, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in parityjoin.query(documents).collect()}
     assert got == joined(texts)
