@@ -46,40 +46,69 @@ def _part(text: Column, pattern: str, group: int) -> Column:
 # How a real time is written as text; the reading below takes it as it stands.
 TYPED_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _TYPED = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$"
-_CLOCK = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?\s*$"
-_DAY_FIRST = r"^\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})" + _CLOCK
-_YEAR_FIRST = r"^\s*(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})" + _CLOCK
+_CLOCK = (
+    r"[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?:\s*([AaPp])\.?[Mm]\.?)?"
+    r"(?:\s*(?:[Zz]|UTC|GMT|[+\-]\d{2}(?::?\d{2})?))?\s*$"
+)
+_END = rf"(?:{_CLOCK}|\s*$)"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_NAME = (
+    r"((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+    r"oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))"
+)
+_YEAR = r"(\d{4}|\d{2})"
+_DAY_FIRST = rf"^\s*(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-]{_YEAR}{_END}"
+_YEAR_FIRST = rf"^\s*(\d{{4}})[/.\-](\d{{1,2}})[/.\-](\d{{1,2}}){_END}"
+_COMPACT = rf"^\s*((?:19|20)\d\d)(0[1-9]|1[0-2])(\d\d){_END}"
+_DAY_NAME = rf"^\s*(\d{{1,2}})[ /.\-]*{_NAME}[ /.,\-]+{_YEAR}{_END}"
+_NAME_DAY = rf"^\s*{_NAME}[ /.\-]+(\d{{1,2}})[ ,/.\-]+{_YEAR}{_END}"
+_LAST_SHORT_YEAR = 68  # two-digit years: 00 to 68 are of this century, as in POSIX
 
 
 def parse_entry_date(text: Column, iso_day_first: bool = False) -> Column:
     """Timestamp without zone from day-first or ISO text; unreadable gives NULL.
 
+    Reads d/m/y with two or four digits of the year, y-m-d, yyyymmdd, and
+    English month names (3 Sep 2023, September 3, 2023), each with a clock of
+    12 or 24 hours if there is one. A zone is read over: the result is the
+    clock as written. Fractions of a second in text are dropped.
+
     A day-first text whose second number cannot be a month is read month
     first. ``iso_day_first`` reads ``2023-09-03`` as 9 March. Text that was a
     real time (see ``TYPED_TIME``) is never turned around.
     """
-    year_first = text.rlike(_YEAR_FIRST)
-
-    def pick(iso_group: int, day_first_group: int) -> Column:
-        return F.when(year_first, _part(text, _YEAR_FIRST, iso_group)).otherwise(
-            _part(text, _DAY_FIRST, day_first_group)
+    iso_month, iso_day = (3, 2) if iso_day_first else (2, 3)
+    year = month = day = None
+    layouts = (
+        (_YEAR_FIRST, 1, iso_month, iso_day), (_COMPACT, 1, 2, 3), (_DAY_NAME, 3, 2, 1), (_NAME_DAY, 3, 1, 2), (_DAY_FIRST, 3, 2, 1)
+    )
+    for pattern, y, m, d in reversed(layouts):
+        reads = text.rlike(pattern)
+        if pattern in (_DAY_NAME, _NAME_DAY):
+            name = F.substring(F.lower(F.regexp_extract(text, pattern, m)), 1, 3)
+            of_pattern = F.array_position(F.array(*map(F.lit, _MONTHS)), name).cast("int")
+        else:
+            of_pattern = _part(text, pattern, m)
+        year_text = F.regexp_extract(text, pattern, y)
+        whole = _part(text, pattern, y)
+        century = F.when(F.length(year_text) > 2, 0).when(whole <= _LAST_SHORT_YEAR, 2000).otherwise(1900)
+        one = (whole + century, of_pattern, _part(text, pattern, d))
+        year, month, day = (
+            F.when(reads, part) if before is None else F.when(reads, part).otherwise(before)
+            for part, before in zip(one, (year, month, day))
         )
-
-    year = pick(1, 3)
-    if iso_day_first:
-        month, day = pick(3, 2), pick(2, 1)
-    else:
-        month, day = pick(2, 2), pick(3, 1)
     swapped = (month > 12) & (day <= 12)
     zero = F.lit(0)
+    hour, half = F.coalesce(_part(text, _CLOCK, 1), zero), F.lower(F.regexp_extract(text, _CLOCK, 4))
+    hour = F.when(~half.isin("a", "p"), hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
     typed = F.try_to_timestamp(F.when(text.rlike(_TYPED), text)).cast("timestamp_ntz")
     parsed = F.try_make_timestamp_ntz(
         year,
         F.when(swapped, day).otherwise(month),
         F.when(swapped, month).otherwise(day),
-        F.coalesce(pick(4, 4), zero),
-        F.coalesce(pick(5, 5), zero),
-        F.coalesce(pick(6, 6), zero).cast("decimal(8,6)"),
+        hour,
+        F.coalesce(_part(text, _CLOCK, 2), zero),
+        F.coalesce(_part(text, _CLOCK, 3), zero).cast("decimal(8,6)"),
     )
     return F.coalesce(typed, parsed)
 

@@ -91,6 +91,25 @@ def test_dates(spark):
     assert day_first == [d(2023, 3, 9)]
 
 
+def test_more_written_dates(spark):
+    d = dt.datetime
+    want = {
+        "03/09/23": d(2023, 9, 3), "3.9.68": d(2068, 9, 3), "03-09-69 7:05": d(1969, 9, 3, 7, 5), "09/13/23": d(2023, 9, 13),
+        "3 Sep 2023": d(2023, 9, 3), "03-sept-23": d(2023, 9, 3), "13 SEPTEMBER 2023 10:11:12": d(2023, 9, 13, 10, 11, 12),
+        "September 3, 2023": d(2023, 9, 3), "May 3 2023 9:05 pm": d(2023, 5, 3, 21, 5), "31 Feb 2023": None, "3 Sap 2023": None,
+        "September 2023": None, "20230903": d(2023, 9, 3), "20230903T10:11:12": d(2023, 9, 3, 10, 11, 12), "20231309": None,
+        "2023-09-03T10:00:00Z": d(2023, 9, 3, 10), "2023-09-03 10:00:00+00:00": d(2023, 9, 3, 10),
+        "2023-09-03T23:30:00.250-0500": d(2023, 9, 3, 23, 30), "03/09/2023 10:00 PM": d(2023, 9, 3, 22),
+        "03/09/2023 12:10 am": d(2023, 9, 3, 0, 10), "03/09/2023 12:10 P.M.": d(2023, 9, 3, 12, 10), "03/09/2023 13:00 PM": None,
+        "03/09/202": None, "vers 3 Sep 2023": None,
+    }
+    got = dict(zip(want, apply(spark, typed.parse_entry_date, list(want))))
+    assert got == want
+    assert apply(spark, lambda c: typed.parse_entry_date(c, iso_day_first=True), ["20230903", "2023-09-03T10:00Z"]) == [
+        d(2023, 9, 3), d(2023, 3, 9, 10)
+    ]
+
+
 def test_codes_and_bands(spark):
     assert apply(spark, typed.patient_type_code, ["u12", " pX", "xU", None]) == ["U", "P", None, None]
     ages = [0.0, 4.9, 5.0, 75.0, 130.0, -1.0, None]
