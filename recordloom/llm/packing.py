@@ -2,7 +2,8 @@
 
 Documents stand in shards of bounded size. A shard holds a BM25 inverted index
 over token ids; the document that opens a window is its seed, and the unused
-documents with the highest BM25 score for the seed's heaviest terms follow it.
+documents with the highest BM25 score for the seed's heaviest terms follow it;
+when those find no more, the seed's next terms are asked, block by block.
 A document that crosses the end of a window is cut there and its rest opens the
 next window, so only the last window of a shard is short. Every id is placed
 exactly once. Shards are the consecutive rows of an input split, so nothing is
@@ -52,15 +53,18 @@ class Bm25:
         self.owner, self.posted = owner[order], weight[order]
         self.heads = np.concatenate([[0], np.cumsum(count)])
 
-    def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> np.ndarray:
-        """Unused documents by score for the seed, best first; ties by place."""
+    def blocks(self, seed: int) -> list[np.ndarray]:
+        """Places of the seed's terms that can find others, heaviest first, in blocks."""
         lo, hi = self.bounds[seed], self.bounds[seed + 1]
-        weight = self.weight[lo:hi]
-        if hi - lo > QUERY_TERMS:
-            top = np.argpartition(weight, -QUERY_TERMS)[-QUERY_TERMS:]
-        else:
-            top = np.arange(hi - lo)
-        spans = [(self.heads[t], self.heads[t + 1]) for t in self.terms[lo:hi][top[weight[top] > 0]]]
+        order = lo + np.argsort(-self.weight[lo:hi], kind="stable")
+        order = order[self.weight[order] > 0]
+        return [order[i : i + QUERY_TERMS] for i in range(0, len(order), QUERY_TERMS)]
+
+    def neighbours(self, seed: int, used: np.ndarray, most: int = 64, block: np.ndarray | None = None) -> np.ndarray:
+        """Unused documents by score for a block of the seed's terms (the first), best first; ties by place."""
+        if block is None:
+            block = next(iter(self.blocks(seed)), np.empty(0, np.int64))
+        spans = [(self.heads[t], self.heads[t + 1]) for t in self.terms[block]]
         if not spans:
             return np.empty(0, np.int64)
         score = np.bincount(
@@ -80,12 +84,17 @@ def fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
     used = np.zeros(len(docs), bool)
     pieces, sequence, offset, fresh = [], 0, 0, 0
     queue: list[int] = []
+    blocks: list[np.ndarray] | None = []  # terms of the seed not yet used up, heaviest last; None: not asked yet
     seed = -1
     for _ in range(len(docs)):
         while queue and used[queue[-1]]:
             queue.pop()
-        if not queue and seed >= 0:
-            queue = index.neighbours(seed, used)[::-1].tolist()
+        if not queue and blocks is None:
+            blocks = index.blocks(seed)[::-1]
+        while not queue and blocks:
+            queue = index.neighbours(seed, used, block=blocks[-1])[::-1].tolist()
+            if not queue:
+                blocks.pop()
         if queue:
             doc = queue.pop()
         else:
@@ -94,7 +103,7 @@ def fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
             doc = fresh
         used[doc] = True
         if offset == 0:
-            seed, queue = doc, []
+            seed, queue, blocks = doc, [], None
         start, left = 0, len(docs[doc])
         while left:
             take = min(left, window - offset)
@@ -102,7 +111,7 @@ def fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
             start, left, offset = start + take, left - take, offset + take
             if offset == window:
                 sequence, offset = sequence + 1, 0
-                seed, queue = doc, []
+                seed, queue, blocks = doc, [], None
     return pieces
 
 

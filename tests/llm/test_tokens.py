@@ -81,5 +81,15 @@ def test_neighbours_share_rare_terms():
         assert index.neighbours(i, used)[0] == i ^ 1
 
 
+def test_later_terms_of_a_seed_find_neighbours():
+    """Document 0 shares 30 heavy terms with 3, and only a light one, past QUERY_TERMS, with 4."""
+    rare = np.repeat(np.arange(100, 130), 3)
+    docs = [np.concatenate([rare, [7]]), np.arange(500, 591), np.arange(600, 691), np.concatenate([rare, np.arange(700, 701)]),
+            np.concatenate([np.arange(800, 890), [7]])]
+    docs = [d.astype("<u4") for d in docs]
+    order = list(dict.fromkeys(p[0] for p in packing.fill(docs, 10_000)))
+    assert order == [0, 3, 4, 1, 2]
+
+
 def test_packing_of_nothing(empty):
     assert packing.query(empty).count() == 0
