@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,32 @@ def word_count(text: Column) -> Column:
 def removed(text: Column, pattern: str) -> Column:
     """How many code points of ``text`` the matches of ``pattern`` hold."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+# Whole-number components stay inside this, so that sums of squares hold in 64 bits.
+WHOLE_LIMIT = 1 << 26
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and holds neither null nor non-finite components."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & good, F.lit(False))
+
+
+def floored(vector: Column, scale: float) -> Column:
+    """Every component x as the whole number floor(scale * x), taken as a double first.
+
+    What lies outside of +-``WHOLE_LIMIT`` is set to that limit.
+    """
+    edge = F.lit(float(WHOLE_LIMIT))
+    return F.transform(vector.cast("array<double>"), lambda x: F.floor(F.greatest(-edge, F.least(edge, x * F.lit(float(scale))))))
+
+
+def farthest_first(points: np.ndarray, count: int) -> np.ndarray:
+    """Places of up to ``count`` different points, each as far as can be from those before it."""
+    chosen = [0] if len(points) else []
+    far = ((points - points[0]) ** 2).sum(1) if len(points) else np.empty(0)
+    while chosen and len(chosen) < count and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return np.array(chosen, np.int64)
