@@ -21,18 +21,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import similarity as sim
 from ..functions.text import round_half_even
-from ..session import few_rows_or_none, small_side, staged
+from ..session import few_rows_or_none, staged
+from . import sweep as sweeping
 
 THRESHOLD = 0.85
 YEAR, ORDER, NAME = "annee", "visit_no", "nom_complet_norm"
 # Rows of one join key handled by one tile; more rows mean more tiles.
 TILE_ROWS = 4096
+# Cells of one bucket of the order rule, and visits sent for each cell.
+BUCKET_CELLS, SENT = 20_000, 8
 # Copies of the counts of crowded keys where these are too many to broadcast.
 SALTS = 64
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -98,11 +102,16 @@ def comparable(df: DataFrame) -> Column:
     return (df[NAME] != "") & df["sexe"].isNotNull() & df["age"].isNotNull()
 
 
+def _compared(df: DataFrame) -> DataFrame:
+    """The compared fields and the number of every comparable visit."""
+    at = sim.wall_micros(F.col("date_entree")).alias("at")
+    return df.filter(comparable(df)).select(YEAR, F.col(NAME).alias("name"), "sexe", "age", at, F.col(ORDER).alias("no"))
+
+
 def match_classes(df: DataFrame) -> DataFrame:
     """One row per distinct set of compared fields: first visit and copies."""
     return (
-        df.filter(comparable(df))
-        .select(YEAR, F.col(NAME).alias("name"), "sexe", "age", sim.wall_micros(F.col("date_entree")).alias("at"), F.col(ORDER).alias("no"))
+        _compared(df)
         .groupBy(YEAR, "name", "sexe", "age", "at")
         .agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("copies"))
     )
@@ -123,7 +132,7 @@ def match_cells(classes: DataFrame, cliques: bool) -> DataFrame:
     cells = (
         _with_slot(classes, cliques)
         .groupBy(YEAR, "name", "sexe", "age", "day", "slot")
-        .agg(F.min("no").alias("cell"))
+        .agg(F.min("no").alias("cell"), F.count(F.lit(1)).alias("size"), F.max("copies").alias("most"))
     )
     return cells.withColumns(
         {
@@ -281,97 +290,188 @@ def _matches(earlier: Column, later: Column) -> Column:
 
 @dataclass
 class KeepFirst:
-    """Outcome of the order rule: kept and dropped classes with their cells."""
+    """Outcome of the order rule.
+
+    ``members`` are the classes that have a copy or share a cell or a link with
+    others; ``kept`` are those of them that stay. All other classes stay.
+    ``links`` are the matches of cells, each both ways and with itself.
+    """
 
     kept: DataFrame
     members: DataFrame
     links: DataFrame
+    rounds: int
+
+
+def _busy_members(classes: DataFrame, cells: DataFrame, neighbours: DataFrame, cliques: bool) -> DataFrame:
+    """Classes that can drop or be dropped, with cell and block; ``alone`` if no other cell matches theirs."""
+    contested = neighbours.select(YEAR, "cell").distinct().withColumn("contested", F.lit(True))
+    busy = cells.join(contested, [YEAR, "cell"], "left").filter("contested or size > 1 or most > 1").alias("c")
+    slotted = _with_slot(classes, cliques).alias("m")
+    located = slotted.join(
+        busy,
+        (F.col(f"m.{YEAR}") == F.col(f"c.{YEAR}")) & (F.col("m.name") == F.col("c.name"))
+        & (F.col("m.sexe") == F.col("c.sexe")) & (F.col("m.age") == F.col("c.age"))
+        & F.col("m.slot").eqNullSafe(F.col("c.slot")),
+    )
+    return located.select(
+        f"m.{YEAR}", "c.block", "c.cell", "m.no", "m.name", "m.sexe", "m.age", "m.at", "m.copies",
+        F.col("c.contested").isNull().alias("alone"),
+    )
+
+
+def _bucketed(open_cells: DataFrame, by_days: bool) -> DataFrame:
+    """Adds a bucket to open cells, so that most matching cells meet in one.
+
+    A bucket holds whole blocks of one sex where they are small. A larger block
+    is cut by name, or in every second round by days, so that a chain of
+    lookalikes over either is followed to its end. Cells of one name are one
+    per age and day, so a bucket has a bound that does not grow with visits.
+    """
+    group = [YEAR, "block", "sexe"]
+    sizes = open_cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    parts = F.ceil(F.col("_size") / F.lit(float(BUCKET_CELLS)))
+    small = F.col("_parts") == 1
+    total = sizes.agg(F.coalesce(F.sum(F.when(F.col("_size") <= BUCKET_CELLS, F.col("_size"))), F.lit(0))).first()[0]
+    shared = F.xxhash64(F.lit("small"), F.pmod(F.xxhash64(*group), F.lit(total // BUCKET_CELLS + 1)))
+    sized = sizes.withColumn("_parts", parts)
+    placed = open_cells.join(sized, group)
+    part = F.pmod(F.xxhash64("name"), F.col("_parts"))
+    if by_days:
+        days = open_cells.groupBy(*group, "day").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.withColumn("_window", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(float(BUCKET_CELLS))))
+        equal = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in group])
+        placed = placed.alias("p").join(days.alias("d"), equal & F.col("p.day").eqNullSafe(F.col("d.day")))
+        placed = placed.select("p.*", "d._window")
+        part = F.when(F.col("day").isNull(), -1 - part).otherwise(F.col("_window"))
+    bucket = F.when(small, shared).otherwise(F.xxhash64(*group, F.lit(by_days), part))
+    return placed.select(YEAR, "cell", "first", bucket.alias("bucket"))
+
+
+def _decided(open_rows: DataFrame, places: DataFrame, neighbours: DataFrame, cliques: bool, by_days: bool) -> DataFrame:
+    """What the sweeps of all buckets decide: ``annee``, ``cell``, ``no``, ``kept``."""
+    first = open_rows.groupBy(YEAR, "cell").agg(F.min("no").alias("first"))
+    placed = staged(_bucketed(first.join(places, [YEAR, "cell"]), by_days), "buckets")
+    there = placed.select(YEAR, F.col("cell").alias("other"), F.col("first").alias("other_first"), F.col("bucket").alias("other_bucket"))
+    links = staged(
+        neighbours.join(placed.drop("first"), [YEAR, "cell"]).join(there, [YEAR, "other"]), "open-links"
+    )
+    outside = links.filter("bucket != other_bucket").groupBy(YEAR, "cell").agg(F.min("other_first").alias("outside"))
+    by_order = F.row_number().over(Window.partitionBy(YEAR, "cell").orderBy("no"))
+    # Only the first few open visits of a cell are sent; later ones wait.
+    sent = open_rows.withColumn("_r", by_order).filter(F.col("_r") <= SENT + 1)
+    rest = sent.filter(F.col("_r") > SENT).select(YEAR, "cell", F.col("no").alias("rest"))
+    last = F.lit(sweeping.LAST)
+    visits = (
+        sent.filter(F.col("_r") <= SENT).join(placed.drop("first"), [YEAR, "cell"])
+        .join(outside, [YEAR, "cell"], "left").join(rest, [YEAR, "cell"], "left")
+        .select(
+            F.col(YEAR).cast("int").alias("year"), "cell", "no", F.coalesce("at", F.lit(0)).alias("at"),
+            F.col("at").isNotNull().alias("dated"), F.coalesce("outside", last).alias("outside"),
+            F.coalesce("rest", last).alias("rest"), "bucket",
+        )
+    )
+    inner = links.filter("bucket = other_bucket").select(F.col(YEAR).cast("int").alias("year"), "cell", "other", "near", "far", "bucket")
+
+    def solve(key, own, around):
+        return sweeping.sweep(own, around, cliques)
+
+    solved = visits.groupBy("bucket").cogroup(inner.groupBy("bucket")).applyInPandas(
+        solve, "year int, cell bigint, no bigint, kept boolean"
+    )
+    return solved.select(F.col("year").alias(YEAR), "cell", "no", "kept")
 
 
 def keep_first(classes: DataFrame, threshold: float = THRESHOLD) -> KeepFirst:
     """Solve the order rule over classes.
 
-    In a round, the first open visit of a cell is kept when no neighbouring
-    cell holds an earlier open one; then all later visits it matches are
-    dropped. The first open visit of a block always qualifies, so rounds end.
+    Only classes that may drop another or be dropped are carried. In a round,
+    cells stand in buckets; each bucket goes through its visits in order and
+    decides all that do not hang on an open visit of another bucket. Then kept
+    visits drop their matches in other buckets. The first open visit of a block
+    is always decided, so rounds end; buckets that hold whole blocks need one.
     Every round writes its outcome, which keeps plans short.
     """
     cliques = cells_are_cliques(threshold)
     classes = staged(classes, "classes")
     cells = staged(match_cells(classes, cliques), "cells")
     neighbours = staged(_neighbours(scored_cell_pairs(cells, threshold), threshold), "neighbours")
-    slotted = _with_slot(classes, cliques).alias("m")
-    located = slotted.join(
-        cells.alias("c"),
-        (F.col(f"m.{YEAR}") == F.col(f"c.{YEAR}")) & (F.col("m.name") == F.col("c.name"))
-        & (F.col("m.sexe") == F.col("c.sexe")) & (F.col("m.age") == F.col("c.age"))
-        & F.col("m.slot").eqNullSafe(F.col("c.slot")),
-    )
-    members = staged(located.select(f"m.{YEAR}", "c.block", "c.cell", "m.no", "m.at", "m.copies"), "members")
-
-    contested = neighbours.select(YEAR, "cell").distinct()
-    settled = members.join(contested, [YEAR, "cell"], "left_anti").filter("no = cell")
-    columns = [YEAR, "block", "cell", "no", "at"]
-    kept = [settled.select(*columns)]
-    open_rows = staged(members.join(contested, [YEAR, "cell"], "left_semi").select(*columns), "open")
+    members = staged(_busy_members(classes, cells, neighbours, cliques), "members")
     own = F.lit(True).alias("near"), F.lit(cliques).alias("far")
+    selves = members.filter("not alone").select(YEAR, "cell").distinct().select(YEAR, "cell", F.col("cell").alias("other"), *own)
+    links = neighbours.unionByName(selves)
+    # An uncontested cell keeps its first visit: all of them match each other.
+    kept = [members.filter("alone and no = cell").select(YEAR, "cell", "no", "at")]
+    open_rows = members.filter("not alone").select(YEAR, "cell", "no", "at")
+    places = cells.select(YEAR, "cell", "block", "sexe", "name", "day")
+    rounds = 0
     while not open_rows.isEmpty():
-        first = open_rows.groupBy(YEAR, "block", "cell").agg(
-            F.min("no").alias("no"), F.min_by("at", "no").alias("at")
-        )
-        nearest = (
-            neighbours.join(first.select(YEAR, F.col("cell").alias("other"), "no"), [YEAR, "other"])
-            .groupBy(YEAR, "cell").agg(F.min("no").alias("nearest"))
-        )
-        winners = first.join(nearest, [YEAR, "cell"], "left").filter("nearest is null or nearest > no")
-        reach = winners.select(YEAR, "cell", F.col("no").alias("k_no"), F.col("at").alias("k_at"))
-        hits = reach.join(neighbours, [YEAR, "cell"]).select(
-            YEAR, F.col("other").alias("cell"), "k_no", "k_at", "near", "far"
-        ).unionByName(reach.select(YEAR, "cell", "k_no", "k_at", *own))
+        decided = staged(_decided(open_rows, places, neighbours, cliques, rounds % 2 == 1), "decided")
+        won = open_rows.join(decided.filter("kept").select(YEAR, "no"), [YEAR, "no"], "left_semi")
+        won = staged(won.select(YEAR, "cell", "no", "at"), "won")
+        kept.append(won)
+        rounds += 1
+        left = open_rows.join(decided.select(YEAR, "no"), [YEAR, "no"], "left_anti")
+        if left.isEmpty():
+            break
+        hits = won.select(YEAR, "cell", F.col("no").alias("k_no"), F.col("at").alias("k_at")).join(links, [YEAR, "cell"])
+        hits = hits.select(YEAR, F.col("other").alias("cell"), "k_no", "k_at", "near", "far")
         lost = (
             (F.col(f"o.{YEAR}") == F.col(f"h.{YEAR}")) & (F.col("o.cell") == F.col("h.cell"))
             & (F.col("h.k_no") < F.col("o.no")) & _matches(F.col("h.k_at"), F.col("o.at"))
         )
-        left = open_rows.alias("o").join(hits.alias("h"), lost, "left_anti").select(*columns)
-        won = winners.select(YEAR, "no", F.lit(True).alias("won"))
-        left = staged(left.join(won, [YEAR, "no"], "left").select(*columns, F.coalesce("won", F.lit(False)).alias("won")), "round")
-        kept.append(left.filter("won").select(*columns))
-        open_rows = left.filter("not won").select(*columns)
-    links = neighbours.unionByName(
-        cells.select(YEAR, "cell", F.col("cell").alias("other"), *own)
-    )
-    return KeepFirst(staged(reduce(DataFrame.unionByName, kept), "kept-all"), members, links)
+        open_rows = staged(left.alias("o").join(hits.alias("h"), lost, "left_anti").select(YEAR, "cell", "no", "at"), "round")
+    return KeepFirst(staged(reduce(DataFrame.unionByName, kept), "kept"), members, links, rounds)
 
 
-def without_dropped(df: DataFrame, outcome: KeepFirst | None) -> DataFrame:
+def dropped_visits(df: DataFrame, outcome: KeepFirst) -> DataFrame:
+    """Year, block and number of every dropped visit: dropped classes, and copies of any class."""
+    dropped = outcome.members.join(outcome.kept.select(YEAR, "no"), [YEAR, "no"], "left_anti").select(YEAR, "block", F.col("no").alias(ORDER))
+    copied = outcome.members.filter("copies > 1").select(YEAR, "block", "name", "sexe", "age", "at", "no").alias("c")
+    visits = _compared(df).alias("v")
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{k}") == F.col(f"c.{k}") for k in (YEAR, "name", "sexe", "age")])
+    copies = visits.join(copied, same & F.col("v.at").eqNullSafe(F.col("c.at")) & (F.col("v.no") > F.col("c.no")))
+    return dropped.unionByName(copies.select(f"v.{YEAR}", "c.block", F.col("v.no").alias(ORDER)))
+
+
+def without_dropped(df: DataFrame, outcome: KeepFirst | None, dropped: DataFrame | None = None) -> DataFrame:
+    """``df`` without its dropped visits; only their keys are carried."""
     if outcome is None:
         return df
-    kept = outcome.kept.select(YEAR, F.col("no").alias(ORDER), F.lit(True).alias("_kept"))
-    joined = df.join(kept, [YEAR, ORDER], "left")
-    return joined.filter(~comparable(joined) | F.col("_kept")).select(*df.columns)
+    gone = dropped_visits(df, outcome) if dropped is None else dropped
+    return df.join(gone.select(YEAR, ORDER), [YEAR, ORDER], "left_anti")
 
 
 def _first_matches(outcome: KeepFirst) -> DataFrame:
     """For dropped visits: the kept visit that removed them, and how many it removed."""
     dropped = outcome.members.join(outcome.kept.select(YEAR, "no"), [YEAR, "no"], "left_anti")
     kept = outcome.kept.select(YEAR, F.col("cell").alias("other"), F.col("no").alias("k_no"), F.col("at").alias("k_at"))
-    reached = dropped.join(outcome.links, [YEAR, "cell"]).join(kept, [YEAR, "other"])
-    removed = (
+    # A cell that matches no other is cleared by its first visit.
+    alone = dropped.filter("alone").select(YEAR, "block", "no", "copies", F.col("cell").alias("k_no"))
+    reached = dropped.filter("not alone").join(outcome.links, [YEAR, "cell"]).join(kept, [YEAR, "other"])
+    found = (
         reached.filter((F.col("k_no") < F.col("no")) & _matches(F.col("k_at"), F.col("at")))
         .groupBy(YEAR, "block", "no", "copies").agg(F.min("k_no").alias("k_no"))
-        .select(YEAR, "block", "k_no", F.col("copies").alias("n"))
     )
+    removed = found.unionByName(alone).select(YEAR, "block", "k_no", F.col("copies").alias("n"))
     copies = outcome.members.filter("copies > 1").join(outcome.kept.select(YEAR, "no"), [YEAR, "no"], "left_semi")
     own = copies.select(YEAR, "block", F.col("no").alias("k_no"), (F.col("copies") - 1).alias("n"))
     return removed.unionByName(own).groupBy(YEAR, "block", "k_no").agg(F.sum("n").alias("n"))
 
 
 def _ranks(rows: DataFrame) -> DataFrame:
-    """Rank by ``no`` inside each block, in two levels so a large block is spread."""
-    span = small_side(rows.groupBy(YEAR).agg(F.min("no").alias("_lo"), F.max("no").alias("_hi")))
-    width = F.col("_hi") - F.col("_lo") + 1
-    bucket = F.floor((F.col("no") - F.col("_lo")) * F.lit(float(_RANK_BUCKETS)) / width)
-    placed = rows.join(span, YEAR).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    """Rank by ``no`` inside each block, in two levels so a large block is spread.
+
+    The buckets are cut at quantiles of the numbers that occur, so a few far
+    numbers don't push all others into one bucket.
+    """
+    at = [i / _RANK_BUCKETS for i in range(1, _RANK_BUCKETS)]
+    borders = rows.select(F.percentile_approx("no", F.array(*map(F.lit, at)), 20 * _RANK_BUCKETS).alias("b")).first()["b"]
+    # Rounding to doubles keeps the order, so equal buckets still hold neighbours only.
+    splits = [float("-inf"), *sorted({float(b) for b in borders or []}), float("inf")]
+    cut = Bucketizer(splits=[*splits[:-1], 0.0, splits[-1]] if len(splits) == 2 else splits, inputCol="_no", outputCol="_bucket")
+    placed = cut.transform(rows.withColumn("_no", F.col("no").cast("double"))).drop("_no")
     sizes = placed.groupBy(YEAR, "block", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(YEAR, "block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(YEAR, "block", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
@@ -381,41 +481,51 @@ def _ranks(rows: DataFrame) -> DataFrame:
     )
 
 
-def pairs_evaluated(clean: DataFrame, outcome: KeepFirst | None) -> DataFrame:
+def pairs_evaluated(rows: DataFrame, outcome: KeepFirst | None, dropped: DataFrame | None) -> DataFrame:
     """Per year, the pairs an ordered scan of each block would have looked at.
 
-    A kept visit is met by every earlier kept visit of its block; a dropped
-    one by the kept visits up to the one that dropped it. Counting needs ranks
-    only, no pairs.
+    ``rows`` holds year, block and number of all visits (a null block has no
+    pairs), ``dropped`` those of the dropped ones. A kept visit is met by every
+    earlier kept visit of its block; a dropped one by the kept visits up to the
+    one that dropped it. Counting needs ranks only, no pairs.
     """
-    rows = clean.filter(F.col(NAME) != "").select(
-        YEAR, sim.block_key(F.col(NAME)).alias("block"), F.col(ORDER).alias("no")
-    )
+    blocks = rows.filter("block is not null").groupBy(YEAR, "block").agg(F.count(F.lit(1)).alias("k"))
+    if outcome is not None:
+        gone = dropped.groupBy(YEAR, "block").agg(F.count(F.lit(1)).alias("gone"))
+        blocks = blocks.join(gone, [YEAR, "block"], "left").withColumn("k", F.col("k") - F.coalesce("gone", F.lit(0)))
     size = F.col("k").cast("decimal(38,0)")
-    kept = rows.groupBy(YEAR, "block").agg(F.count(F.lit(1)).alias("k")).groupBy(YEAR).agg(
-        F.sum((size * (size - 1) / 2).cast("decimal(38,0)")).alias("pairs")
-    )
+    pairs = blocks.groupBy(YEAR).agg(F.sum((size * (size - 1) / 2).cast("decimal(38,0)")).alias("pairs"))
     if outcome is not None:
-        removed = _first_matches(outcome)
-        blocks = removed.select(YEAR, "block").distinct()
-        ranked = _ranks(rows.join(blocks, [YEAR, "block"], "left_semi"))
+        removed = staged(_first_matches(outcome), "removers")
+        crowded = removed.select(YEAR, "block").distinct()
+        gone = dropped.select(YEAR, F.col(ORDER).alias("no"))
+        left = rows.join(crowded, [YEAR, "block"], "left_semi").join(gone, [YEAR, "no"], "left_anti")
+        ranked = _ranks(staged(left.select(YEAR, "block", "no"), "block-rows"))
         met = removed.join(ranked, (removed[YEAR] == ranked[YEAR]) & (removed["k_no"] == ranked["no"])).groupBy(
             removed[YEAR]
         ).agg(F.sum((F.col("n") * F.col("rank")).cast("decimal(38,0)")).alias("pairs"))
-        kept = kept.unionByName(met)
-    return kept.groupBy(YEAR).agg(F.sum("pairs").cast("bigint").alias("n_paires_evaluees"))
+        pairs = pairs.unionByName(met)
+    return pairs.groupBy(YEAR).agg(F.sum("pairs").cast("bigint").alias("n_paires_evaluees"))
+
 
+def dedup_report(df: DataFrame, outcome: KeepFirst | None, dropped: DataFrame | None = None) -> DataFrame:
+    """Rows before and after, duplicates and their rate, pairs; one row a year.
 
-def dedup_report(df: DataFrame, clean: DataFrame, outcome: KeepFirst | None) -> DataFrame:
-    """Rows before and after, duplicates and their rate, pairs; one row a year."""
-    before = df.groupBy(YEAR).agg(F.count(F.lit(1)).alias("n_avant"))
-    after = clean.groupBy(YEAR).agg(F.count(F.lit(1)).alias("n_apres"))
-    removed = F.col("n_avant") - F.col("n_apres")
-    joined = before.join(after, YEAR, "left").join(pairs_evaluated(clean, outcome), YEAR, "left")
-    return joined.select(
+    The visits are read once, for year, block and number; ``dropped`` holds the
+    keys of the dropped visits where they are known.
+    """
+    block = F.when(F.col(NAME) != "", sim.block_key(F.col(NAME))).alias("block")
+    rows = staged(df.select(YEAR, block, F.col(ORDER).alias("no")), "visit-blocks")
+    result = rows.groupBy(YEAR).agg(F.count(F.lit(1)).alias("n_avant"))
+    removed = F.lit(0).cast("bigint")
+    if outcome is not None:
+        dropped = dropped_visits(df, outcome) if dropped is None else dropped
+        result = result.join(dropped.groupBy(YEAR).agg(F.count(F.lit(1)).alias("gone")), YEAR, "left")
+        removed = F.coalesce("gone", F.lit(0)).cast("bigint")
+    return result.join(pairs_evaluated(rows, outcome, dropped), YEAR, "left").select(
         YEAR,
         "n_avant",
-        "n_apres",
+        (F.col("n_avant") - removed).alias("n_apres"),
         removed.alias("n_doublons_supprimes"),
         round_half_even(100 * removed / F.col("n_avant"), 2).alias("taux_doublons_pct"),
         F.coalesce("n_paires_evaluees", F.lit(0)).cast("bigint").alias("n_paires_evaluees"),
@@ -424,9 +534,9 @@ def dedup_report(df: DataFrame, clean: DataFrame, outcome: KeepFirst | None) ->
 
 def deduplicate(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(clean visits, report per year); ``visit_no`` has to be unique in a year."""
-    outcome = None
+    outcome = dropped = None
     # A threshold above the score of equal visits drops nothing.
     if sim.composite_value(1.0, 1.0, 1.0) >= threshold:
         outcome = keep_first(match_classes(df), threshold)
-    clean = without_dropped(df, outcome)
-    return clean, dedup_report(df, clean, outcome)
+        dropped = staged(dropped_visits(df, outcome), "dropped")
+    return without_dropped(df, outcome, dropped), dedup_report(df, outcome, dropped)

@@ -135,3 +135,51 @@ def test_tiles_give_the_same_pairs(spark, monkeypatch):
     monkeypatch.setattr(dedup, "TILE_ROWS", 2)
     tiled = sorted(map(tuple, dedup.scored_cell_pairs(cells).collect()))
     assert whole == tiled and len(whole) > 20
+
+
+def test_daily_visits_of_one_name_need_few_rounds(spark):
+    start = dt.datetime(2023, 1, 1, 8)
+    rows = [(2023, i, "awa diop", "Femme", 30, start + dt.timedelta(hours=23 * i)) for i in range(365)]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    outcome = dedup.keep_first(dedup.match_classes(df))
+    assert outcome.rounds <= 2
+    assert {(r.annee, r.visit_no) for r in dedup.without_dropped(df, outcome).collect()} == scan(rows, 0.85)[0]
+
+
+@pytest.mark.parametrize("cells,sent", [(1, 1), (3, 2), (12, 1), (40, 8)])
+def test_small_buckets_decide_the_same(spark, monkeypatch, cells, sent):
+    monkeypatch.setattr(dedup, "BUCKET_CELLS", cells)
+    monkeypatch.setattr(dedup, "SENT", sent)
+    check(spark, random_rows(150, 21 + cells, hot=True))
+
+
+def test_days_cut_in_windows_need_few_rounds(spark, monkeypatch):
+    """Lookalikes over a year, in windows far smaller than the chain; rounds don't follow the calendar."""
+    monkeypatch.setattr(dedup, "BUCKET_CELLS", 60)
+    rng = random.Random(31)
+    rows = [
+        (2023, i, rng.choice(["awa diop", "awa diopp", "awa dieng", "awa sarr"]), "Femme", 30,
+         dt.datetime(2023, 1, 1) + dt.timedelta(hours=rng.randint(0, 24 * 365)))
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    outcome = dedup.keep_first(dedup.match_classes(df))
+    assert outcome.rounds <= 15
+    assert {(r.annee, r.visit_no) for r in dedup.without_dropped(df, outcome).collect()} == scan(rows, 0.85)[0]
+
+
+def test_only_dropped_keys_are_carried(spark, capsys):
+    df = spark.createDataFrame(random_rows(120, 41), SCHEMA)
+    outcome = dedup.keep_first(dedup.match_classes(df))
+    assert outcome.members.count() < df.count()
+    dropped = dedup.dropped_visits(df, outcome)
+    assert dropped.columns == ["annee", "block", "visit_no"]
+    assert dropped.count() == df.count() - dedup.without_dropped(df, outcome, dropped).count() > 0
+
+
+def test_ranks_of_far_row_numbers(spark):
+    nos = [*range(1, 3000), 10**15, 10**15 + 1, 2 * 10**15, 9 * 10**17, 9 * 10**17 + 1]
+    rows = spark.createDataFrame([(2023, b, n) for b in ("A", "B") for n in nos], "annee int, block string, no bigint")
+    got = {(r.block, r.no): r.rank for r in dedup._ranks(rows).collect()}
+    assert got == {(b, n): i + 1 for b in ("A", "B") for i, n in enumerate(nos)}
