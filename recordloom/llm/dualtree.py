@@ -103,11 +103,13 @@ class Best:
         self.weakest[item[last]] = np.maximum(score[last], 1)
 
 
-def search_batch(items: Items, best: Best, keys: np.ndarray, doc: np.ndarray, term: np.ndarray, gain: np.ndarray) -> None:
+def search_batch(items: Items, best: Best, keys: np.ndarray, doc: np.ndarray, term: np.ndarray, gain: np.ndarray) -> int:
     """Scores a batch of documents against all items; ``doc``, ``term`` and ``gain`` are parallel.
 
-    ``term`` numbers the block's terms, ``doc`` places in ``keys``.
+    ``term`` numbers the block's terms, ``doc`` places in ``keys``. Returns how
+    many scores the bounds left to compute.
     """
+    scored = 0
     width = len(items.terms)
     # like documents stand together: by heaviest term, then by its gain
     order = np.lexsort((gain, doc))
@@ -149,10 +151,12 @@ def search_batch(items: Items, best: Best, keys: np.ndarray, doc: np.ndarray, te
             rows = np.zeros((LEAF, len(used)), items.kind)
             rows[place[lo:hi] - leaf * LEAF, column] = gain[lo:hi]
             scores = rows @ items.holds[np.ix_(some, used)].astype(items.kind).T
+            scored += scores.size
             r, c = np.nonzero(scores >= best.weakest[some])
             found.append((some[c], scores[r, c].astype(np.int64), sorted_keys[leaf * LEAF + r]))
         if found:
             best.add(*map(np.concatenate, zip(*found)))
+    return scored
 
 
 def gains(weights: np.ndarray, tf: np.ndarray, n: np.ndarray, documents: int, words: int) -> np.ndarray:
@@ -174,7 +178,7 @@ def counted(docs: DataFrame, key: Column, text: Column, vocabulary: dict[bytes,
                     found, times = np.unique(known, return_counts=True)
                     for name, value in zip(out, (k, len(words), found, times)):
                         out[name].append(value)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({name: pd.Series(value, dtype=object) for name, value in out.items()})
 
     rows = docs.where(text.isNotNull() & key.isNotNull()).select(key.cast("long").alias("key"), text.alias("text"))
     return rows.mapInPandas(count, "key long, n long, terms array<int>, tf array<long>")

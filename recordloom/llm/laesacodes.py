@@ -177,7 +177,8 @@ def encode(
         return spark.createDataFrame([], f"{kinds}, label_error long"), []
     size = len(first[0]["v"])
     base = base.where(F.size("v") == size)
-    seeds = np.array([r["v"] for r in base.orderBy(*order).limit(entries).collect()], np.int64).reshape(-1, size)
+    smallest = [r["v"] for r in base.orderBy(*order).limit(entries).collect()]
+    seeds = np.array(smallest, np.int64).reshape(len(smallest), size)
     cuts = bounds_of(size, parts)
     books = [seeds[:, lo:hi] for lo, hi in cuts]
     fixed = [b[farthest_first(b.astype(np.float64), pivots)] for b in books]

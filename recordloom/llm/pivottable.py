@@ -46,7 +46,8 @@ class Pivots:
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
         first = 0
         for size in sorted({len(v) for v in sample}):
-            v = np.array([v for v in sample if len(v) == size], np.float64).reshape(-1, size)
+            some = [v for v in sample if len(v) == size]
+            v = np.array(some, np.float64).reshape(len(some), size)
             lifted = np.concatenate([v, self.lift(v)[:, None]], 1)
             kept = lifted[farthest_first(lifted, count)]
             self.by_size[size] = kept[:, :-1], kept[:, -1], first
@@ -84,7 +85,8 @@ class Pivots:
                         near[place] = row
                         if batch["q"].iloc[place]:
                             asks[place] = query
-            yield batch.assign(near=near, asks=asks, cell=cell)
+            if len(batch):
+                yield batch.assign(near=near, asks=asks, cell=cell)
 
 
 class Block:
