@@ -5,8 +5,9 @@ over token ids; the document that opens a window is its seed, and the unused
 documents with the highest BM25 score for the seed's heaviest terms follow it;
 when those find no more, the seed's next terms are asked, block by block.
 A document that crosses the end of a window is cut there and its rest opens the
-next window, so only the last window of a shard is short. Every id is placed
-exactly once. Shards are the consecutive rows of an input split, so nothing is
+next window. What is left at the end of a shard is cut into windows whose sizes
+are powers of two, largest first, so nothing is padded whatever the number of
+shards. Every id is placed exactly once. Shards are the consecutive rows of an input split, so nothing is
 shuffled, and a lost task is redone from its split.
 """
 
@@ -78,6 +79,26 @@ class Bm25:
         return near[np.lexsort((near, -score[near]))]
 
 
+def evened(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces with a short last sequence cut into sequences whose sizes are powers of two."""
+    last = pieces[-1][3]
+    head = len(pieces)
+    while head and pieces[head - 1][3] == last:
+        head -= 1
+    left = sum(p[2] for p in pieces[head:])
+    if left == window:
+        return pieces
+    out, sequence, offset, size = pieces[:head], last, 0, 1 << left.bit_length() - 1
+    for doc, start, length, _, _ in pieces[head:]:
+        while length:
+            take = min(length, size - offset)
+            out.append((doc, start, take, sequence, offset))
+            start, length, left, offset = start + take, length - take, left - take, offset + take
+            if offset == size and left:
+                sequence, offset, size = sequence + 1, 0, 1 << left.bit_length() - 1
+    return out
+
+
 def fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces of one shard: (document, start, length, sequence, offset)."""
     index = Bm25(docs)
@@ -112,7 +133,7 @@ def fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
             if offset == window:
                 sequence, offset = sequence + 1, 0
                 seed, queue, blocks = doc, [], None
-    return pieces
+    return evened(pieces, window)
 
 
 def pack(

@@ -1,5 +1,6 @@
 """Token store and packing: exact round trips against the library."""
 
+import random
 import zlib
 
 import numpy as np
@@ -13,11 +14,22 @@ from .conftest import clashing
 
 @pytest.fixture(scope="module")
 def ids(texts):
-    plain = tokens.Encoder(tokens.vocabulary_path()).parts.tokenizer
+    plain = tokens.Encoder(tokens.vocabulary_path()).tokenizer
     encode = lambda t: np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
     return {k: encode(t) for k, t in texts.items()}
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_SIZE", 300)
+    enc, rng = tokens.Encoder(tokens.vocabulary_path()), random.Random(3)
+    signs = [*"abzABZ019 '’!$.,;:#&<|>_\n\t\"`~^[]{}\\\v\f\r", *"éßÿ÷×ÀÞİǆΣςﬁ漢😀µªº½٣", "\u0301", "\xa0", "\u2028", "\x00", "\x1c", "\x7f", "\x85",
+             "'s", "'LL", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "the ", "Élan", "don't"]
+    for size in [*[12] * 20_000, *[400] * 100]:
+        text = "".join(rng.choices(signs, k=rng.randint(0, size)))
+        want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert enc.encode(text) == np.array([*want, 1], "<u4").tobytes(), text
+
+
 def test_store_gives_back_all_ids(documents, ids):
     got = {r.doc_id: r for r in tokenstore.query(clashing(documents, "key", "part")).collect()}
     start = 0
@@ -68,7 +80,7 @@ def test_packing_places_every_id_once(documents, ids, shard, monkeypatch):
         for p in sorted(window, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= packing.WINDOW
+        assert at == packing.WINDOW or at & (at - 1) == 0  # never padded
 
 
 def test_neighbours_share_rare_terms():
@@ -91,5 +103,17 @@ def test_later_terms_of_a_seed_find_neighbours():
     assert order == [0, 3, 4, 1, 2]
 
 
+@pytest.mark.parametrize("sizes", [[1], [2047], [2048], [2049], [1, 1, 1], [3000, 5, 1301], [7] * 900])
+def test_ends_of_shards_are_powers_of_two(sizes):
+    docs = [np.full(n, 9 + i, "<u4") for i, n in enumerate(sizes)]
+    filled = {}
+    for doc, start, length, sequence, offset in packing.fill(docs, 2048):
+        assert filled.get(sequence, 0) == offset and length > 0
+        filled[sequence] = offset + length
+    assert sum(filled.values()) == sum(sizes) and sorted(filled) == list(range(len(filled)))
+    assert all(n == 2048 or n & (n - 1) == 0 for n in filled.values())
+    assert sum(n < 2048 for n in filled.values()) <= 11
+
+
 def test_packing_of_nothing(empty):
     assert packing.query(empty).count() == 0
