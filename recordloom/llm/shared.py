@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,39 @@ def removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+# Running values are built in blocks of this many, as appending copies an array.
+RUN_BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What merging an array from the front gives at each place.
+
+    Blocks first, then what stands before each block: the work is in
+    proportion to the array, but for a small share of its square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def append(so_far: Column, x: Column) -> Column:
+        return let(F.try_element_at(so_far, F.lit(-1)), lambda last: F.array_append(so_far, F.when(last.isNull(), x).otherwise(merge(last, x))))
+
+    def joined(blocks: Column) -> Column:
+        ends = F.aggregate(F.transform(blocks, lambda b: F.element_at(b, -1)), none, append)
+        later = F.zip_with(F.slice(blocks, 2, F.size(blocks)), ends, lambda b, e: F.when(b.isNotNull(), F.transform(b, lambda x: merge(e, x))))
+        return F.concat(F.element_at(blocks, 1), F.flatten(F.filter(later, lambda b: b.isNotNull())))
+
+    def in_blocks(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / F.lit(float(RUN_BLOCK))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(v, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK)), none, append))
+        return F.when(F.size(v) == 0, none).otherwise(let(cut, joined))
+
+    return let(values, in_blocks)
+
+
 # Whole-number components stay inside this, so that sums of squares hold in 64 bits.
 WHOLE_LIMIT = 1 << 26
 

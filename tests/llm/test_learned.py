@@ -1,13 +1,16 @@
 """Personal data, quality scores, URL rules and graph search."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import graphsearch, pii, preference, urls
+from recordloom.llm.shared import running
 
 from .conftest import clashing
 
@@ -62,6 +65,103 @@ def test_masking(spark, empty):
     assert pii.query(empty).count() == 0 and pii.mask(empty, "text").count() == 0
 
 
+def test_running_values(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in rng.integers(0, 50, n)]) for i, n in enumerate([0, 1, 2, 127, 128, 129, 256, 257, 1000])]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    got = df.select("i", running(F.col("v"), lambda x, y: x + y, "int").alias("s"), running(F.col("v"), lambda x, y: F.greatest(x, y), "int").alias("m")).collect()
+    for r in got:
+        v = np.array(rows[r.i][1], int)
+        assert r.s == np.cumsum(v).tolist() and r.m == np.maximum.accumulate(v).tolist()
+
+
+def wide_texts(n=400, seed=12):
+    """Texts with one planted wide span each, or one decoy: (text, kind, start, end or None)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(3, 8)))
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def card():
+        body = "4" + digits(14)
+        for last in "0123456789":
+            if passes("card", body + last):
+                return body + last
+
+    out = []
+    for i in range(n):
+        before, after = (" ".join(word() for _ in range(rng.randint(2, 12))) for _ in range(2))
+        sep = rng.choice(["-", ".", " "])
+        end = rng.choice(["com", "org", "net", "de"])
+        real = {
+            "email": rng.choice([f"{word()} at {word()} dot {end}", f"{word()} (at) {word()}.{end}", f"{word()}[at]{word()}[dot]{end}"]),
+            "phone": f"{rng.randint(2, 9)}{digits(2)}{sep}{rng.randint(2, 9)}{digits(2)}{sep}{digits(4)}",
+            "ip": rng.choice(["[.]", "(.)", "[dot]"]).join(str(rng.randint(1, 250)) for _ in range(4)),
+            "card": rng.choice([".", "/", "_"]).join((lambda c: [c[j : j + 4] for j in (0, 4, 8, 12)])(card())),
+        }
+        lead = {"email": "write to", "phone": "phone:", "ip": "server", "card": "visa card"}
+        fake = {
+            "email": f"{word()} at {word()}. {word().capitalize()}", "phone": f"{rng.randint(0, 1)}{digits(2)}-{digits(3)} {digits(4)}",
+            "ip": "[.]".join(str(rng.randint(300, 900)) for _ in range(4)), "card": f"{digits(4)}.{digits(4)}.{digits(4)}.{digits(2)}",
+        }
+        kind = rng.choice(list(real))
+        if rng.random() < 0.5:
+            head = f"{before} {lead[kind] if rng.random() < 0.7 else word()} "
+            out.append((f"{head}{real[kind]} {after}", kind, len(head), len(head) + len(real[kind])))
+        else:
+            lead = rng.choice(["order", "version", "invoice", word()])
+            text = real["phone"] if kind == "phone" and lead in ("order", "invoice") else fake[kind]
+            out.append((f"{before} {lead} {text} {after}", kind, None, None))
+    return out
+
+
+def test_planted_wide_spans(spark, documents):
+    planted = wide_texts()
+    docs = spark.createDataFrame([(50_000 + i, t) for i, (t, *_) in enumerate(planted)], "doc_id long, text string")
+    docs = docs.unionByName(documents.select("doc_id", "text"))
+    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in pii.query(docs).collect()}
+    right = wrong = missed = 0
+    for i, (text, kind, start, end) in enumerate(planted):
+        base = plain_spans(text)
+        added = [s.split(":") for s in got[50_000 + i] if s not in base.split(",")]
+        hit = [k == kind and start is not None and int(a) < end and start < int(b) for k, a, b in added]
+        right, wrong = right + any(hit), wrong + hit.count(False)
+        missed += start is not None and not any(hit)
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9, (right, wrong, missed)
+    more = ["order 212-555-0147 shipped", "please write to anna at mail dot com today", "they looked at houses. Then"]
+    asked = docs.unionByName(spark.createDataFrame([(90_000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    told = {r.doc_id: r.spans for r in pii.query(asked).where("doc_id >= 90000").collect()}
+    assert told == {90_000: "", 90_001: f"email:{more[1].index('anna')}:{more[1].index(' today')}", 90_002: ""}
+
+
+def test_texts_full_of_matches_cost_as_much_as_plain_ones(spark):
+    def seconds(text):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        row = pii.query(docs).collect()[0]
+        masked = pii.mask(docs, "text").collect()[0].text
+        return time.time() - start, row, masked
+
+    n = 100_000
+    seconds("1.2.3.4 a@b.co")
+    plain, row, masked = seconds("abcdefg " * n)
+    assert row.spans == "" and masked == "abcdefg " * n
+    full, row, masked = seconds("1.2.3.4 " * n)
+    assert row.n_ip == n and masked == "<ip> " * n
+    assert full < 2 * plain + 8, (full, plain)
+    both, row, masked = seconds("é@ü a@b.co +49 30 1234567 anna (at) mail.com " * (n // 10))
+    assert (row.n_email, row.n_phone) == (n // 10, n // 10) and both < 2 * plain + 12, (both, plain)
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    rows = [("abcdefghij", [(0, 0, 4), (2, 1, 6), (6, 2, 8)]), ("é😀ab", [(1, 1, 2)]), ("xyz", []), ("abcdefghij", [(0, 0, 9), (1, 1, 2), (3, 2, 10)])]
+    for limit in (4_000_000, 0):
+        pii.LETTERS_BEYOND = limit
+        df = spark.createDataFrame(rows, "t string, s array<struct<start:int,kind:int,end:int>>")
+        got = [r[0] for r in df.select(pii.masked(F.col("t"), F.col("s"))).collect()]
+        assert got == ["<email><card>ij", "é<ip>ab", "xyz", "<email>"]
+    pii.LETTERS_BEYOND = 4_000_000
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -120,6 +220,34 @@ def test_mined_rules_find_planted_tokens(spark):
     assert urls.query(pages.where("false"), labels).count() == 0
 
 
+def test_mining_long_urls_stays_small(spark):
+    """A URL of 200 words and 50 query keys alone, a template of them on 1 % of pages, and one with a word missing each."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    query = "&".join(f"k{w}=1" for w in words[:50])
+    long_ = "http://long.com/" + "/".join(words) + "?" + query
+    rows = [(i, f"http://s{i % 7}.com/{'casino' if i % 5 == 0 else 'news'}/p?id={i}") for i in range(2000)]
+    rows[3] = (3, "http://alone.com/" + "/".join(f"x{w}" for w in words) + "?" + query.replace("k", "q"))
+    for i in range(20):
+        rows[40 + 5 * i] = (40 + 5 * i, long_)
+    for i in range(40):
+        rows[1000 + 5 * i] = (1000 + 5 * i, "http://t.com/" + "/".join(f"y{w}" for j, w in enumerate(words[:24]) if j != i % 24))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    start = time.time()
+    got = {r.page_id: r.verdict for r in urls.query(pages, labels).collect()}
+    assert time.time() - start < 60
+    assert got == {i: "block" if i % 5 == 0 else "allow" for i in range(2000)}
+
+
+def test_tokens_of_one_item_match_alone(spark):
+    rows = [(i, "http://a.com/red/blue" if i < 20 else "http://b.com/green") for i in range(60)]
+    rows += [(100, "http://c.com/blue"), (101, "http://c.com/red/x"), (102, "http://c.com/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 20), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.query(pages, labels).collect()}
+    assert (got[100], got[101], got[102]) == ("block", "block", "allow")
+
+
 def test_graph_search_recall_and_scores(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(3000, 24)) + rng.normal(size=(30, 24))[rng.integers(0, 30, 3000)] * 2
