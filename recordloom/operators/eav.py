@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, typed
-from ..session import few_rows_or_none, keep_methods_compilable
+from ..session import few_rows_or_none, keep_lists_hashed, keep_methods_compilable
 
 # Category key -> list column. Keys of one column are merged in
 # this order.
@@ -193,6 +193,7 @@ def pivot_visits(
         ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"])
         lists[column] = F.when(F.count(entry) > 0, ordered)
     aggregates = {**_identity_aggregates(iso_day_first), **lists}
+    keep_lists_hashed(eav.sparkSession)
     return eav.groupBy(*VISIT).agg(*[v.alias(k) for k, v in aggregates.items()])
 
 

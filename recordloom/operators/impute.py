@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -22,46 +23,68 @@ METHODS = {
     "mice": "MICE",
     "random_forest": "Random Forest",
 }
-# Rank error of the sketch that brackets a median, and the margin kept around.
-_SKETCH_ACCURACY = 10_000
-_MARGIN = 5 / _SKETCH_ACCURACY
+# Quantiles that a selection step looks at, and the rank accuracy of their sketch.
+_STEPS, _SKETCH_ACCURACY = 2_000, 10_000
 
 
-def exact_median(df: DataFrame, value: str, by: str, name: str = "median") -> DataFrame:
-    """Exact median per group, NULLs ignored; mean of the middle two.
+def _grid(value: Column) -> Column:
+    steps = F.array(*[F.lit(i / _STEPS) for i in range(_STEPS + 1)])
+    return F.percentile_approx(value, steps, _SKETCH_ACCURACY)
+
+
+def _around(grid: Column, place: Column) -> tuple[Column, Column]:
+    """Quantiles one step and the sketch's error below and above a place between 0 and 1."""
+    low = F.greatest(F.floor(place * _STEPS) - 2, F.lit(0)).cast("int")
+    high = F.least(F.ceil(place * _STEPS) + 2, F.lit(_STEPS)).cast("int")
+    return F.get(grid, low), F.get(grid, high)
 
-    A mergeable sketch brackets the middle first. Only distinct values inside
-    the bracket are then ranked, with counts combined before the shuffle, so
-    neither a large group nor many distinct values gather in one place.
+
+def value_at_ranks(known: DataFrame, by: str, ranks: Column) -> DataFrame:
+    """Values of ``_v`` at given ranks (from 1) of each group: ``by``, ``_rank``, ``_value``.
+
+    ``ranks`` is an array made of ``_n``, the rows of the group. A sketch puts
+    a bracket around a rank. Each step counts what lies below the bracket, on
+    its two ends and inside, and either finds the rank on an end, or goes on
+    with a bracket that is strictly smaller or lies beyond this one. Every step
+    is one aggregation with state of fixed size, whatever the values are.
     """
+    groups = known.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), _grid(F.col("_v")).alias("_grid"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    ranked = groups.withColumn("_rank", F.explode(ranks))
+    low, high = _around(F.col("_grid"), (F.col("_rank") - 0.5) / F.col("_n"))
+    limits = [by, "_rank", "_min", "_max"]
+    open_ = settled(ranked.select(*limits, low.alias("_lo"), high.alias("_hi")), "brackets")
+    found = []
+    while not open_.isEmpty():
+        v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+
+        def number(where: Column) -> Column:
+            return F.count(F.when(where, 1))
+
+        counted = known.join(small_side(open_), by).groupBy(*limits, "_lo", "_hi").agg(
+            number(v < lo).alias("_below"), number(v == lo).alias("_on_lo"), number((v == hi) & (hi > lo)).alias("_on_hi"),
+            number((v > lo) & (v < hi)).alias("_inside"), _grid(F.when((v > lo) & (v < hi), v)).alias("_grid"),
+            F.max(F.when(v < lo, v)).alias("_under"), F.min(F.when(v > hi, v)).alias("_over"),
+        )
+        rank = F.col("_rank") - F.col("_below")
+        after_lo, before_hi = rank - F.col("_on_lo"), rank - F.col("_on_lo") - F.col("_inside")
+        value = F.when((rank > 0) & (after_lo <= 0), lo).when((before_hi > 0) & (before_hi <= F.col("_on_hi")), hi)
+        low, high = _around(F.col("_grid"), (after_lo - 0.5) / F.col("_inside"))
+        next_lo = F.when(rank <= 0, F.col("_min")).when(before_hi > 0, F.col("_over")).otherwise(low)
+        next_hi = F.when(rank <= 0, F.col("_under")).when(before_hi > 0, F.col("_max")).otherwise(high)
+        step = settled(counted.select(*limits, value.alias("_value"), next_lo.alias("_lo"), next_hi.alias("_hi")), "ranks")
+        found.append(step.filter("_value is not null").select(by, "_rank", "_value"))
+        open_ = step.filter("_value is null").drop("_value")
+    if not found:
+        return open_.select(by, "_rank", F.col("_lo").alias("_value"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def exact_median(df: DataFrame, value: str, by: str, name: str = "median") -> DataFrame:
+    """Exact median per group, NULLs ignored; mean of the middle two."""
     known = df.select(by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    low, high = F.lit(0.5 - _MARGIN), F.lit(0.5 + _MARGIN)
-    bracket = known.groupBy(by).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(low, high), _SKETCH_ACCURACY).alias("_q"),
-    )
-    counted = (
-        known.join(small_side(bracket), by)
-        .filter(F.col("_v") <= F.col("_q")[1])
-        .withColumn("_v", F.when(F.col("_v") >= F.col("_q")[0], F.col("_v")))
-        .groupBy(by, "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = Window.partitionBy(by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(running))
-
-    def at_rank(rank: Column) -> Column:
-        return F.min_by("_v", F.when(F.col("_upto") >= rank, F.col("_upto")))
-
-    half = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    middle = ranked.groupBy(by).agg(at_rank(half[0]).alias("_a"), at_rank(half[1]).alias("_b"))
-    missed = F.raise_error(F.lit("median outside its bracket")).cast("double")
-    return middle.select(
-        by,
-        F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed)
-        .otherwise((F.col("_a") + F.col("_b")) / 2)
-        .alias(name),
-    )
+    half = (F.col("_n") + 1) / 2
+    middle = value_at_ranks(known, by, F.array_distinct(F.array(F.floor(half), F.ceil(half))))
+    return middle.groupBy(by).agg(F.avg("_value").alias(name))
 
 
 def smallest_mode(df: DataFrame, value: str, by: str, name: str = "mode") -> DataFrame:

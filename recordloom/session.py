@@ -26,6 +26,20 @@ def keep_methods_compilable(spark: SparkSession) -> None:
         spark.conf.set(_METHOD_LIMIT, "8000")
 
 
+_LIST_LIMIT = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
+def keep_lists_hashed(spark: SparkSession) -> None:
+    """Let an aggregation with lists hold this many groups a task before it sorts all rows.
+
+    The default of 128 sorts the raw rows of nearly every task. What is beyond
+    the limit is sorted and spilled as before. A limit the user has chosen is
+    left alone.
+    """
+    if spark.conf.get(_LIST_LIMIT, "128") == "128":
+        spark.conf.set(_LIST_LIMIT, "32768")
+
+
 _local_folders: dict[str, str] = {}
 
 
@@ -83,14 +97,6 @@ def few_rows_or_none(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list |
     return rows if len(rows) <= limit else None
 
 
-def few_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list:
-    """Rows of a table that has to be small, such as one row per year."""
-    rows = few_rows_or_none(df, limit)
-    if rows is None:
-        raise ValueError(f"more than {limit} groups")
-    return rows
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """A broadcast copy of ``df`` if it holds at most ``limit`` rows.
 

@@ -85,7 +85,7 @@ def test_dates(spark):
              "2023-09-03T10:11:12", "2023-09-03 10:11:12.5"]
     d = dt.datetime
     want = [d(2023, 9, 13), d(2023, 9, 3), None, d(2023, 9, 3), d(2023, 9, 13), d(2023, 2, 1, 7, 5), None, None,
-            d(2023, 9, 3, 10, 11, 12), d(2023, 9, 3, 10, 11, 12)]
+            d(2023, 9, 3, 10, 11, 12), d(2023, 9, 3, 10, 11, 12, 500000)]
     assert apply(spark, typed.parse_entry_date, given) == want
     day_first = apply(spark, lambda c: typed.parse_entry_date(c, iso_day_first=True), ["2023-09-03"])
     assert day_first == [d(2023, 3, 9)]
@@ -97,11 +97,14 @@ def test_more_written_dates(spark):
         "03/09/23": d(2023, 9, 3), "3.9.68": d(2068, 9, 3), "03-09-69 7:05": d(1969, 9, 3, 7, 5), "09/13/23": d(2023, 9, 13),
         "3 Sep 2023": d(2023, 9, 3), "03-sept-23": d(2023, 9, 3), "13 SEPTEMBER 2023 10:11:12": d(2023, 9, 13, 10, 11, 12),
         "September 3, 2023": d(2023, 9, 3), "May 3 2023 9:05 pm": d(2023, 5, 3, 21, 5), "31 Feb 2023": None, "3 Sap 2023": None,
-        "September 2023": None, "20230903": d(2023, 9, 3), "20230903T10:11:12": d(2023, 9, 3, 10, 11, 12), "20231309": None,
+        "September 2023": d(2023, 9, 1), "20230903": d(2023, 9, 3), "20230903T10:11:12": d(2023, 9, 3, 10, 11, 12), "20231309": None,
         "2023-09-03T10:00:00Z": d(2023, 9, 3, 10), "2023-09-03 10:00:00+00:00": d(2023, 9, 3, 10),
-        "2023-09-03T23:30:00.250-0500": d(2023, 9, 3, 23, 30), "03/09/2023 10:00 PM": d(2023, 9, 3, 22),
+        "2023-09-03T23:30:00.250-0500": d(2023, 9, 3, 23, 30, 0, 250000), "03/09/2023 10:00 PM": d(2023, 9, 3, 22),
         "03/09/2023 12:10 am": d(2023, 9, 3, 0, 10), "03/09/2023 12:10 P.M.": d(2023, 9, 3, 12, 10), "03/09/2023 13:00 PM": None,
-        "03/09/202": None, "vers 3 Sep 2023": None,
+        "03/09/202": None, "vers 3 Sep 2023": None, "2023-09": d(2023, 9, 1), "09/2023": d(2023, 9, 1), "1985": d(1985, 1, 1),
+        "Sunday 3 September 2023": d(2023, 9, 3), "sun, 3 sep 2023 10h30": d(2023, 9, 3, 10, 30), "20230903T101112": d(2023, 9, 3, 10, 11, 12),
+        "03/09/2023 10:11:12.123456789": d(2023, 9, 3, 10, 11, 12, 123456), "2023-13": None, "13/2023": None, "2023-09-03 25:00": None,
+        "09/23": None, "": None, " ": None, "a|b": None, "\u0001|2023|1||1|||||||": None, "12345": None, "3 Sep 99": d(1999, 9, 3),
     }
     got = dict(zip(want, apply(spark, typed.parse_entry_date, list(want))))
     assert got == want
@@ -110,6 +113,16 @@ def test_more_written_dates(spark):
     ]
 
 
+def test_offsets_are_taken_off_on_demand(spark):
+    d = dt.datetime
+    want = {
+        "2023-09-03T10:00:00Z": d(2023, 9, 3, 10), "2023-09-03 01:00:00+02:00": d(2023, 9, 2, 23), "2023-09-03T10:00-0530": d(2023, 9, 3, 15, 30),
+        "03/09/2023 23:30 +01": d(2023, 9, 3, 22, 30), "2023-09-03 10:00": d(2023, 9, 3, 10), "2023-09-03 10:00 GMT": d(2023, 9, 3, 10), "bad": None,
+    }
+    got = dict(zip(want, apply(spark, lambda c: typed.parse_entry_date(c, to_utc=True), list(want))))
+    assert got == want
+
+
 def test_codes_and_bands(spark):
     assert apply(spark, typed.patient_type_code, ["u12", " pX", "xU", None]) == ["U", "P", None, None]
     ages = [0.0, 4.9, 5.0, 75.0, 130.0, -1.0, None]

@@ -98,3 +98,28 @@ def test_forest_follows_the_group_means(spark):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         impute.impute(spark.createDataFrame([], SCHEMA), "other")
+
+
+@pytest.mark.parametrize("kind", ["ints", "far", "two", "same", "wide", "ties", "odd"])
+def test_median_of_adversarial_values(spark, monkeypatch, kind):
+    rng = random.Random(9)
+    make = {
+        "ints": lambda: float(rng.randint(0, 120)), "far": lambda: rng.choice([-1e300, -1.0, 0.0, 5e-324, 1e300]) * rng.random(),
+        "two": lambda: rng.choice([1.0, 2.0]), "same": lambda: 7.5, "wide": lambda: rng.lognormvariate(0, 40),
+        "ties": lambda: rng.choice([0.0, 0.0, 0.0, rng.random()]), "odd": lambda: rng.choice([float("inf"), float("-inf"), 1.0, 2.0, 3.0]),
+    }[kind]
+    rows = [(g, make()) for g, n in (("a", 1), ("b", 2), ("c", 501), ("d", 500), ("e", 4)) for _ in range(n)] + [("a", None), ("z", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {g: statistics.median([v for k, v in rows if k == g and v is not None]) for g in "abcde"}
+    for steps, accuracy in ((2000, 10_000), (50, 100)):  # a coarse sketch needs more steps, with the same result
+        monkeypatch.setattr(impute, "_STEPS", steps)
+        monkeypatch.setattr(impute, "_SKETCH_ACCURACY", accuracy)
+        got = {r.g: r.median for r in impute.exact_median(df, "v", "g").collect()}
+        assert {k: v for k, v in got.items() if v == v} == {k: v for k, v in want.items() if v == v}
+    assert impute.exact_median(df.limit(0), "v", "g").collect() == []
+
+
+def test_median_gathers_no_group(spark, capsys):
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    impute.exact_median(df, "v", "g").explain()
+    assert "Window" not in capsys.readouterr().out

@@ -103,18 +103,36 @@ def _(spark, sf):
     return _documents(spark, sf).select("doc_id", typed.age_from_text(F.col("text")).alias("age"))
 
 
+# Ways of writing the date of an order, as a Spark pattern or expression, and
+# what is read: days and hours after the date, or the first of its month.
+_DATE = "date_format(o_orderdate, '{}')"
+_WRITTEN_DATES = (
+    (_DATE.format("dd/MM/yyyy"), "d"), (_DATE.format("yyyy-MM-dd"), "d"), (_DATE.format("d-M-yyyy"), "d"),
+    (f"concat({_DATE.format('dd.MM.yyyy')}, ' ', o_orderkey % 24, ':00')", "d + INTERVAL 1 HOUR * (o_orderkey % 24)"),
+    (f"concat('vers ', {_DATE.format('MMMM yyyy')})", "NULL"),
+    (f"concat({_DATE.format('dd/MM/')}, right(year(o_orderdate), 2))", "d"),
+    (_DATE.format("d MMM yyyy"), "d"), (f"concat({_DATE.format('MMMM d, yyyy')}, ' 9:05 pm')", "d + INTERVAL 1265 MINUTE"),
+    (_DATE.format("yyyyMMdd"), "d"), (f"concat({_DATE.format('yyyyMMdd')}, 'T101112')", "d + INTERVAL 36672 SECOND"),
+    (f"concat({_DATE.format('yyyy-MM-dd')}, ' 10:11:12.5')", "d + INTERVAL 36672500 MILLISECOND"),
+    (f"concat({_DATE.format('yyyy-MM-dd')}, 'T10:11:12.000250+02:00')", "d + INTERVAL 36672000250 MICROSECOND"),
+    (f"concat({_DATE.format('yyyy-MM-dd')}, 'T10:11Z')", "d + INTERVAL 611 MINUTE"),
+    (f"concat({_DATE.format('EEEE d MMMM yyyy')}, ' 10h30')", "d + INTERVAL 630 MINUTE"),
+    (_DATE.format("MMMM yyyy"), "date_trunc('month', d)"), (_DATE.format("yyyy-MM"), "date_trunc('month', d)"),
+    (_DATE.format("MM/yyyy"), "date_trunc('month', d)"), (_DATE.format("yyyy"), "date_trunc('year', d)"),
+)
+
+
 @query(
     "f7_date_parse",
-    "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate + INTERVAL 1 HOUR * (CASE WHEN o_orderkey % 5 = 3 THEN o_orderkey % 24 ELSE 0 END) END, '%Y-%m-%d %H:%M') AS entree FROM orders",
+    f"SELECT o_orderkey, strftime(CASE o_orderkey % {len(_WRITTEN_DATES)} "
+    + " ".join(f"WHEN {i} THEN {read}" for i, (_, read) in enumerate(_WRITTEN_DATES))
+    + " END, '%Y-%m-%d %H:%M:%S.%f') AS entree FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders) o",
 )
 def _(spark, sf):
-    written = F.expr(
-        """CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd')
-           WHEN 2 THEN date_format(o_orderdate, 'd-M-yyyy') WHEN 3 THEN concat(date_format(o_orderdate, 'dd.MM.yyyy'), ' ', o_orderkey % 24, ':00')
-           ELSE concat('vers ', date_format(o_orderdate, 'MMMM yyyy')) END"""
-    )
-    parsed = typed.parse_entry_date(written)
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm").alias("entree"))
+    forms = " ".join(f"WHEN {i} THEN {written}" for i, (written, _) in enumerate(_WRITTEN_DATES))
+    parsed = typed.parse_entry_date(F.expr(f"CASE o_orderkey % {len(_WRITTEN_DATES)} {forms} END"))
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+    return orders.select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("entree"))
 
 
 _CODE_TEXT = "concat(CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '' END, lower(substring(o_orderpriority, 3)))"
