@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,7 +62,7 @@ def read_raw_eav(spark: SparkSession, path: str, year: int, fmt: str = "parquet"
     """One yearly export from parquet, or from CSV in the order of RAW_SCHEMA."""
     reader = spark.read.options(**options)
     if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", True).schema(RAW_SCHEMA)
+        reader = reader.options(**{**_CSV, **options}).option("enforceSchema", True).schema(RAW_SCHEMA)
     return raw_eav(reader.format(fmt).load(path), year)
 
 
@@ -71,20 +72,65 @@ def read_raw_years(spark: SparkSession, paths: dict[int, str], fmt: str = "parqu
     return reduce(DataFrame.unionByName, years)
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
+@dataclass
+class Read:
+    """Rows of a table with their types, and what could not be read: column, value, number of rows."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+# CSV as most programs write it: quotes are doubled, blanks belong to the value.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def rejected(text_rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Values that are there but can't be read as their type, counted: ``colonne``, ``valeur``, ``n``.
+
+    Empty text stands for a missing value and is not counted.
+    """
+    typed = {c: kind for c, kind in kinds.items() if kind != "string" and c in text_rows.columns}
+    if not typed:
+        return text_rows.sparkSession.createDataFrame([], "colonne string, valeur string, n bigint")
+    bad = [
+        F.when((F.trim(f"`{c}`") != "") & F.col(f"`{c}`").try_cast(kind).isNull(), F.struct(F.lit(c).alias("colonne"), F.col(f"`{c}`").alias("valeur")))
+        for c, kind in typed.items()
+    ]
+    found = text_rows.select(F.explode(F.array_compact(F.array(*bad))).alias("r"))
+    return found.groupBy("r.colonne", "r.valeur").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_raw_checked(spark: SparkSession, path: str, year: int) -> Read:
+    """One yearly CSV export. Rows whose row number can't be read have no place in the order and are rejected."""
+    names = [part.split()[0] for part in RAW_SCHEMA.split(", ")]
+    text = spark.read.options(**_CSV).schema(", ".join(f"{c} string" for c in names)).option("enforceSchema", True).csv(path)
+    number = F.col(ORDER_COLUMN).try_cast("bigint")
+    shown = text.withColumn(ORDER_COLUMN, F.coalesce(ORDER_COLUMN, F.lit("(none)")))
+    rows = raw_eav(text.withColumn(ORDER_COLUMN, number).filter(F.col(ORDER_COLUMN).isNotNull()), year)
+    return Read(rows, rejected(shown, {ORDER_COLUMN: "bigint"}))
+
+
+def read_clean_checked(spark: SparkSession, path: str) -> Read:
     """Clean table from CSV with a header; columns are found by their trimmed names.
 
     Their order has no meaning and further columns are left out. A missing
-    column is an error unless it is one of OPTIONAL_CLEAN. Values that cannot
-    be read as their type become NULL.
+    column is an error unless it is one of OPTIONAL_CLEAN. Empty cells are NULL.
+    Values that can't be read as their type are NULL in the rows and counted in
+    the rejects.
     """
-    rows = trim_names(spark.read.option("header", True).csv(path))
+    rows = trim_names(spark.read.options(**_CSV).csv(path))
     kinds = dict(part.split() for part in CLEAN_SCHEMA.split(", "))
     missing = [c for c in kinds if c not in rows.columns and c not in OPTIONAL_CLEAN]
     if missing:
         raise ValueError(f"clean table lacks the columns {missing}")
     found = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit(None)
-    return rows.select(*[found(c).try_cast(kind).alias(c) for c, kind in kinds.items()])
+    typed = rows.select(*[found(c).try_cast(kind).alias(c) for c, kind in kinds.items()])
+    return Read(typed, rejected(rows, kinds))
+
+
+def read_clean(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``read_clean_checked``."""
+    return read_clean_checked(spark, path).rows
 
 
 def trim_names(df: DataFrame) -> DataFrame:
@@ -99,7 +145,7 @@ def write_csv(df: DataFrame, path: str) -> None:
         for name, kind in df.dtypes
         if kind in ("timestamp", "timestamp_ntz")
     }
-    df.withColumns(times).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumns(times).write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_by_year(df: DataFrame, path: str) -> None:

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from recordloom.functions import labels, similarity, text, typed
 from recordloom.operators import compare, counts, dedup, eav, impute
 from recordloom.plans import cleaning, flow, quality
-from recordloom.session import spread, staged
+from recordloom.session import new_table_path, spread, staged
+from recordloom.sources import tables
 
 from . import twins as t
 from .shapes import (
+    ALL_ANSWERS_SQL,
     EVENT_VISITS_SQL,
     PART_VISITS_SQL,
     RAW_ANSWERS_SQL,
@@ -213,6 +215,12 @@ def _(spark, sf):
 
 _ANSWERS = f"WITH {RAW_ANSWERS_SQL}, {t.CLEAN_ANSWERS_SQL}"
 _VISITS = f"{_ANSWERS}, {t.PIVOT_SQL}"
+# The same over the whole form, where every answer list is filled.
+_ALL_ANSWERS = f"WITH {ALL_ANSWERS_SQL}, {t.CLEAN_ANSWERS_SQL}"
+_ALL_VISITS = f"{_ALL_ANSWERS}, {t.PIVOT_SQL}"
+_LISTS: dict[str, list[str]] = {}
+for _key, _column in eav.LIST_COLUMNS.items():
+    _LISTS.setdefault(_column, []).append(_key)
 
 
 def _list_sql(*keys: str) -> str:
@@ -224,44 +232,52 @@ def _list_sql(*keys: str) -> str:
 
 @query(
     "a2_ticked_answers",
-    f"""{_ANSWERS} SELECT annee, dossier, row_no, item FROM eav WHERE cat_slug = 'diagnosticretenuouevoque' AND reponse_on AND item IS NOT NULL""",
+    f"""{_ALL_ANSWERS} SELECT annee, dossier, {t.mapped('cat_slug', eav.LIST_COLUMNS)} AS colonne,
+        CAST({t.mapped('cat_slug', {k: str(i) for i, k in enumerate(eav.LIST_COLUMNS)})} AS INTEGER) AS key_rank, row_no, item
+        FROM eav WHERE cat_slug IN ({', '.join(map(t.quoted, eav.LIST_COLUMNS))}) AND reponse_on AND item IS NOT NULL""",
 )
 def _(spark, sf):
-    long = eav.ticked_answers(eav.clean_eav(raw_answers(spark, sf)))
-    return long.filter(F.col("colonne") == "diagnostic").select("annee", "dossier", "row_no", "item")
+    return eav.ticked_answers(eav.clean_eav(raw_answers(spark, sf, whole=True)))
 
 
 @query(
     "a3_pivot_visits",
-    f"""{_VISITS}, lists AS (SELECT annee, dossier, {_list_sql('sexe')} AS sexe_brut, {_list_sql('service')} AS service,
-          {_list_sql('antecedentspathologiques')} AS antecedents, {_list_sql('diagnosticretenuouevoque')} AS diagnostic FROM eav GROUP BY annee, dossier)
+    f"""{_ALL_VISITS}, lists AS (SELECT annee, dossier, {', '.join(f'{_list_sql(*keys)} AS {column}' for column, keys in _LISTS.items())} FROM eav GROUP BY annee, dossier)
         SELECT v.annee, v.dossier, v.visit_no, f.prenom, f.nom, v.age, v.type_patient_code, strftime(v.date_entree, '%Y-%m-%d %H:%M') AS entree,
-               sexe_brut, service, antecedents, diagnostic
+               {', '.join('l.' + column for column in _LISTS)}
         FROM visits v JOIN facts f ON f.annee = v.annee AND f.dossier = v.dossier JOIN lists l ON l.annee = v.annee AND l.dossier = v.dossier""",
 )
 def _(spark, sf):
-    wide = eav.pivot_visits(eav.clean_eav(raw_answers(spark, sf)))
-    lists = [F.array_join(c, "|").alias(c) for c in ("sexe_brut", "service", "antecedents", "diagnostic")]
+    wide = eav.pivot_visits(eav.clean_eav(raw_answers(spark, sf, whole=True)))
+    lists = [F.array_join(c, "|").alias(c) for c in _LISTS]
     entry = F.date_format("date_entree", "yyyy-MM-dd HH:mm").alias("entree")
     return wide.select("annee", "dossier", "visit_no", "prenom", "nom", "age", "type_patient_code", entry, *lists)
 
 
 _NORMALISED = (
-    "annee", "dossier", "visit_no", "age", "type_patient", "sexe", "sexe_concordant", "provenance", "service_principal",
-    "typologie_cas", "evolution_immediate", "duree_hospitalisation", "diagnostic_categorie", "trauma_type",
-    "categorie_diagnostique_large", "nom_complet_norm",
+    "annee", "dossier", "visit_no", "age", "type_patient_code", "type_patient", "sexe", "sexe_concordant", "provenance", "service_principal",
+    "tranche_age_declaree", "typologie_cas", "evolution_immediate", "duree_hospitalisation", "diagnostic_categorie", "trauma_type",
+    "categorie_diagnostique_large", "nom_norm", "prenom_norm", "nom_complet_norm",
 )
-_NORMALISED_SQL = f"{_VISITS} SELECT {', '.join(_NORMALISED)} FROM visits"
+_NORMALISED_SQL = f"""{_ALL_VISITS}, more AS (
+      SELECT annee, dossier, {t.slug('nom')} AS nom_norm, {t.slug('prenom')} AS prenom_norm, tranche AS tranche_age_declaree FROM facts
+      JOIN (SELECT annee AS y, dossier AS d, split_part({_list_sql(*_LISTS['tranche_age'])}, '|', 1) AS tranche FROM eav GROUP BY 1, 2) b ON y = annee AND d = dossier)
+    SELECT {', '.join(c if c not in ('annee', 'dossier') else 'v.' + c for c in _NORMALISED)}, strftime(date_entree, '%Y-%m-%d %H:%M') AS entree
+    FROM visits v JOIN more m ON m.annee = v.annee AND m.dossier = v.dossier"""
+
+
+def _normalised(visits: DataFrame) -> DataFrame:
+    return visits.select(*_NORMALISED, F.date_format("date_entree", "yyyy-MM-dd HH:mm").alias("entree"))
 
 
 @query("a1_f9_f13_normalised_visits", _NORMALISED_SQL)
 def _(spark, sf):
-    return eav.normalised_visits(eav.clean_eav(raw_answers(spark, sf))).select(*_NORMALISED)
+    return _normalised(eav.normalised_visits(eav.clean_eav(raw_answers(spark, sf, whole=True))))
 
 
 @query("f9_f11_f12_normalised_lists", _NORMALISED_SQL)
 def _(spark, sf):
-    return eav.normalise_lists(eav.pivot_visits(eav.clean_eav(raw_answers(spark, sf)))).select(*_NORMALISED)
+    return _normalised(eav.normalise_lists(eav.pivot_visits(eav.clean_eav(raw_answers(spark, sf, whole=True)))))
 
 
 @query(
@@ -718,31 +734,153 @@ for _column in ("typologie_cas", "evolution_immediate", "duree_hospitalisation")
     query(f"r7_{_column}", _counts_sql(_column, _column, keep_null=True))(_outcome(_column))
 
 
+# Report -> (value, second key, condition); a report over shares has its percentages too.
 _R8 = {
-    "par_annee": "CAST(annee AS VARCHAR)", "par_sexe": "sexe", "services": "service_principal", "typologie_cas": "typologie_cas",
-    "evolution_immediate": "evolution_immediate", "duree_hospitalisation": "duree_hospitalisation",
+    "par_annee": ("CAST(annee AS VARCHAR)", None, "TRUE"),
+    "par_sexe": ("sexe", None, "TRUE"),
+    "par_heure": ("CAST(CAST(extract(hour FROM date_entree) AS INTEGER) AS VARCHAR)", "annee", "date_entree IS NOT NULL"),
+    "par_jour": ("strftime(date_entree, '%Y-%m-%d')", None, "date_entree IS NOT NULL"),
+    "services": ("service_principal", None, "service_principal IS NOT NULL"),
+    "typologie_cas": ("typologie_cas", None, "TRUE"),
+    "evolution_immediate": ("evolution_immediate", None, "TRUE"),
+    "duree_hospitalisation": ("duree_hospitalisation", None, "TRUE"),
 }
-_R8_DROPS_NULL = ("par_annee", "services")
+_TRAUMA = "categorie_diagnostique_large = 'Trauma'"
+_R8_SQL = " UNION ALL ".join(
+    [
+        f"SELECT '{name}' AS rapport, {value} AS valeur, {f'CAST({key} AS VARCHAR)' if key else 'NULL::VARCHAR'} AS cle, count(*) AS n, NULL::DOUBLE AS pct "
+        f"FROM visits WHERE {where} GROUP BY 2, 3"
+        for name, (value, key, where) in _R8.items()
+    ]
+    + [
+        "SELECT 'patients', NULL, NULL, count(DISTINCT dossier), NULL FROM visits",
+        f"SELECT 'par_tranche_age', b.tranche_age, CAST(b.ordre AS VARCHAR), count(v.dossier), NULL FROM b LEFT JOIN visits v ON {t.age_band_order('v.age')} = b.ordre GROUP BY 2, 3",
+        "SELECT * FROM (SELECT 'top_categories', diagnostic_categorie, NULL::VARCHAR, count(*) AS n, NULL::DOUBLE FROM visits WHERE diagnostic_categorie IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10) c",
+        f"SELECT 'cas_trauma', NULL, NULL, count(*), NULL FROM visits WHERE {_TRAUMA}",
+        f"""SELECT 'causes_trauma', trauma_type, NULL, n, {t.rounded('(100 * n::DOUBLE / total)')}
+            FROM (SELECT trauma_type, count(*) AS n, sum(count(*)) OVER () AS total FROM visits WHERE {_TRAUMA} AND trauma_type IS NOT NULL GROUP BY 1) s""",
+    ]
+)
+
+
+def _report_rows(report: dict[str, DataFrame]) -> DataFrame:
+    """All reports in one table: value, second key, number and percentage."""
+    out = None
+    for name, part in report.items():
+        number = part.columns[0] if name in ("patients", "cas_trauma") else "n"
+        value, key = {
+            "patients": (None, None), "cas_trauma": (None, None), "par_heure": ("Heure_entree", "annee"), "par_tranche_age": ("tranche_age", "ordre"),
+        }.get(name, (part.columns[0], None))
+        show = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+        rows = part.select(
+            F.lit(name).alias("rapport"), show(value).alias("valeur"), show(key).alias("cle"), F.col(number).cast("bigint").alias("n"),
+            (F.col("pct") if "pct" in part.columns else F.lit(None)).cast("double").alias("pct"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("r8_full_report", f"{_EVENTS}, b(ordre, tranche_age) AS (VALUES {_BANDS}) {_R8_SQL}")
+def _(spark, sf):
+    return _report_rows(flow.full_report(staged(_visits(spark, sf), "enriched")))
+
+
+_WITHOUT = ("top_categories", "causes_trauma")
 
 
 @query(
-    "r8_full_report",
-    f"{_EVENTS} "
-    + " UNION ALL ".join(
-        f"SELECT '{name}' AS rapport, {sql} AS valeur, count(*) AS n FROM visits WHERE {f'{sql} IS NOT NULL' if name in _R8_DROPS_NULL else 'TRUE'} GROUP BY 2"
-        for name, sql in _R8.items()
-    ),
+    "p9_optional_columns",
+    f"""{_EVENTS}, b(ordre, tranche_age) AS (VALUES {_BANDS}), r(rapport, valeur, cle, n, pct) AS ({_R8_SQL})
+        SELECT * FROM r WHERE rapport NOT IN ({', '.join(map(t.quoted, _WITHOUT))})""",
 )
 def _(spark, sf):
-    report = flow.full_report(_visits(spark, sf))
-    parts = [
-        report[name].select(F.lit(name).alias("rapport"), F.col(report[name].columns[0]).cast("string").alias("valeur"), "n")
-        for name in _R8
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    lean = _visits(spark, sf).drop("diagnostic_categorie", "trauma_type")
+    return _report_rows(flow.full_report(staged(lean, "enriched")))
+
+
+# --- sources and sinks --------------------------------------------------------
+
+_RAW_ORDER = ("row_no", "titre", "attribut", "patient", "dossier", "date_entree", "reponse")
+
+
+@query(
+    "s1_raw_round_trip",
+    f"""WITH {RAW_ANSWERS_SQL} SELECT row_no, CASE WHEN from_lines THEN 'lineitem' ELSE 'orders' END AS titre, attribut, NULL::VARCHAR AS patient,
+        dossier, date_entree, reponse, annee FROM raw""",
+)
+def _(spark, sf):
+    """Both years written as CSV exports and read back by position."""
+    answers = raw_answers(spark, sf)
+    paths = {y: new_table_path(spark, f"export-{y}") for y in YEARS}
+    for year, path in paths.items():
+        tables.write_csv(answers.filter(F.col("annee") == year).select(*_RAW_ORDER), path)
+    return tables.read_raw_years(spark, paths, "csv")
+
+
+@query(
+    "s1_raw_rejects",
+    """SELECT 'row_no' AS colonne, concat('ligne ', event_id % 7) AS valeur, count(*) AS n FROM events WHERE event_id % 20 = 3 GROUP BY 2""",
+)
+def _(spark, sf):
+    """An export in which every twentieth row number is a text."""
+    number = F.expr("CASE WHEN event_id % 20 = 3 THEN concat('ligne ', event_id % 7) ELSE CAST(event_id AS STRING) END")
+    rows = table(spark, sf, "events").select(
+        number.alias("row_no"), F.lit("t").alias("titre"), F.col("event_type").alias("attribut"), F.lit(None).cast("string").alias("patient"),
+        F.col("user_id").cast("string").alias("dossier"), F.lit(None).cast("string").alias("date_entree"), F.lit("on").alias("reponse"),
+    )
+    path = new_table_path(spark, "export")
+    tables.write_csv(rows, path)
+    return tables.read_raw_checked(spark, path, Y1).rejects
+
+
+def _written_clean(spark, sf) -> str:
+    """Clean events as CSV, with padded names in another order, an extra column and some unreadable values."""
+    rows = impute.median_mode(event_visits(spark, sf)).select(
+        F.lit("x").alias("autre"), F.col("date_entree"),
+        F.expr("CASE WHEN visit_no % 25 = 0 THEN concat('age ', visit_no % 3) ELSE CAST(age AS STRING) END").alias("age"),
+        F.col("age_imp"), F.col("annee"), *[F.col(c) for c in ("dossier", "sexe", "sexe_imp", "service_principal", "diagnostic_categorie", "diagnostic_categorie_imp",
+        "trauma_type", "categorie_diagnostique_large", "typologie_cas", "evolution_immediate", "duree_hospitalisation")],
+        F.expr("CASE WHEN visit_no % 30 = 0 THEN '  \"Nord\", rue 5 ' WHEN visit_no % 30 = 1 THEN '' END").alias("provenance"),
+        F.lit(None).cast("string").alias("type_patient"),
+    )
+    path = new_table_path(spark, "clean")
+    tables.write_csv(rows.withColumnRenamed("dossier", " dossier ").withColumnRenamed("age", "age "), path)
+    return path
+
+
+_READ_CLEAN = {c: c for c in tables.CLEAN_COLUMNS} | {
+    "age": "CASE WHEN visit_no % 25 <> 0 THEN age END",
+    # An empty cell is a missing one, also in quotes.
+    "provenance": "CASE WHEN visit_no % 30 = 0 THEN '  \"Nord\", rue 5 ' END",
+    "type_patient": "NULL::VARCHAR", "date_entree": "strftime(date_entree, '%Y-%m-%d %H:%M:%S.%f')",
+}
+
+
+@query(
+    "s2_s4_clean_round_trip",
+    f"{_EVENTS}, {t.imputed_sql()} SELECT {', '.join(f'{sql} AS {c}' for c, sql in _READ_CLEAN.items())} FROM imputed",
+)
+def _(spark, sf):
+    clean = tables.read_clean_checked(spark, _written_clean(spark, sf)).rows
+    return clean.withColumn("date_entree", F.date_format("date_entree", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("s2_rejects", f"{_EVENTS} SELECT 'age' AS colonne, concat('age ', visit_no % 3) AS valeur, count(*) AS n FROM visits WHERE visit_no % 25 = 0 GROUP BY 2")
+def _(spark, sf):
+    return tables.read_clean_checked(spark, _written_clean(spark, sf)).rejects
+
+
+@query(
+    "s5_enriched_round_trip",
+    f"""{_EVENTS} SELECT visit_no, dossier, annee, age, sexe, CAST(extract(hour FROM date_entree) AS INTEGER) AS "Heure_entree", strftime(date_entree, '%A') AS "Jour_semaine",
+        strftime(date_entree, '%Y-%m-%d') AS jour, {t.age_band('age')} AS tranche_age FROM visits""",
+)
+def _(spark, sf):
+    """The enriched table written by year and read back with its partitions."""
+    path = new_table_path(spark, "enriched")
+    tables.write_by_year(_visits(spark, sf), path)
+    rows = spark.read.parquet(path)
+    return rows.select("visit_no", "dossier", "annee", "age", "sexe", "Heure_entree", "Jour_semaine", F.col("Date").cast("string").alias("jour"), "tranche_age")
 
 
 @query(

@@ -85,6 +85,21 @@ _ORDER_ANSWERS = (
 )
 
 
+# Rows of the form's other questions, for the queries that show all answer lists.
+_MORE_ANSWERS = (
+    ("concat('Trancheddge : ', 10 * (o_custkey % 7), ' ans')", "CASE WHEN o_orderkey % 4 = 0 THEN 'on' END"),
+    ("concat('Tranche age : ', 10 * (o_custkey % 9), ' ans')", "CASE WHEN o_orderkey % 3 = 0 THEN 'on' END"),
+    ("concat('Tranche da : ', 10 * (o_custkey % 8), ' ans')", "CASE WHEN o_orderkey % 6 = 0 THEN 'on' END"),
+    ("concat('Motif de consultation : ', c_mktsegment)", "CASE WHEN o_orderkey % 2 = 0 THEN 'on' END"),
+    ("concat('Conduite   tenir : ', o_orderpriority)", "'ON'"),
+    ("concat('Explorations biologiques : NFS ', o_custkey % 5)", "CASE WHEN o_orderkey % 7 = 0 THEN 'on' END"),
+    ("concat('Explorations radiologiques : radio ', o_custkey % 3)", "CASE WHEN o_orderkey % 8 = 0 THEN 'on' ELSE 'non' END"),
+    ("'Hospitalisation/Evacuation : hospitalisation'", "CASE WHEN o_totalprice > 200000 THEN 'on' END"),
+    ("'Type de traitement : perfusion'", "CASE WHEN o_orderstatus = 'O' THEN 'on' END"),
+    ("'Type de traitement : antalgique'", "CASE WHEN o_custkey % 3 = 0 THEN 'on' END"),
+)
+
+
 def _entry_date(day: str, iso: str, clock: str) -> str:
     return f"CASE WHEN o_orderkey % 3 = 0 THEN concat({iso}, {clock}) ELSE concat({day}, {clock}) END"
 
@@ -92,8 +107,11 @@ def _entry_date(day: str, iso: str, clock: str) -> str:
 _CLOCK = "' ', lpad(CAST(o_orderkey % 24 AS {text}), 2, '0'), ':30'"
 
 
-def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and customers as identity and tick rows, line items as diagnosis ticks."""
+def raw_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Orders and customers as identity and tick rows, line items as diagnosis ticks.
+
+    ``whole`` adds the form's other questions, so that every list is filled.
+    """
     orders = spread(table(spark, sf_dir, "orders")).join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
@@ -102,7 +120,7 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     structs = F.array(*[
         F.struct(F.lit(k).alias("k"), F.expr(attribute).alias("attribut"), F.expr(answer).alias("reponse"))
-        for k, (attribute, answer) in enumerate(_ORDER_ANSWERS)
+        for k, (attribute, answer) in enumerate(_ORDER_ANSWERS + (_MORE_ANSWERS if whole else ()))
     ])
     from_orders = orders.select("o_orderkey", F.expr(date).alias("date_entree"), F.inline(structs)).select(
         (F.col("o_orderkey") * 64 + F.col("k")).alias("row_no"),
@@ -129,23 +147,23 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_orders.unionByName(from_lines)
 
 
-def _raw_answers_sql() -> str:
+def _raw_answers_sql(whole: bool = False) -> str:
     date = _entry_date(
         "strftime(o_orderdate, '%d/%m/%Y')", "strftime(o_orderdate, '%Y-%m-%d')", _CLOCK.format(text="VARCHAR")
     )
     per_order = " UNION ALL ".join(
         f"SELECT o_orderkey * 64 + {k} AS row_no, {attribute} AS attribut, o_orderkey AS k, "
-        f"{date} AS date_entree, {answer} AS reponse FROM o"
-        for k, (attribute, answer) in enumerate(_ORDER_ANSWERS)
+        f"{date} AS date_entree, {answer} AS reponse, FALSE AS from_lines FROM o"
+        for k, (attribute, answer) in enumerate(_ORDER_ANSWERS + (_MORE_ANSWERS if whole else ()))
     )
     return f"""
 o AS (SELECT * FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 raw AS (
-  SELECT row_no, attribut, concat('D', k) AS dossier, date_entree, reponse, CAST({YEARS[0]} + k % 2 AS INTEGER) AS annee
+  SELECT row_no, attribut, concat('D', k) AS dossier, date_entree, reponse, from_lines, CAST({YEARS[0]} + k % 2 AS INTEGER) AS annee
   FROM ({per_order} UNION ALL
     SELECT l_orderkey * 64 + 32 + l_linenumber, concat('Diagnostic retenu ou évoqué : ',
            ({_sql_list(ANSWER_LABELS)})[CAST(l_partkey % {len(ANSWER_LABELS)} + 1 AS INTEGER)]), l_orderkey, NULL,
-           CASE WHEN l_returnflag <> 'N' THEN 'on' END FROM lineitem) u
+           CASE WHEN l_returnflag <> 'N' THEN 'on' END, TRUE FROM lineitem) u
 )"""
 
 
@@ -214,3 +232,4 @@ EVENT_VISITS_SQL = (
 )
 
 RAW_ANSWERS_SQL = _raw_answers_sql()
+ALL_ANSWERS_SQL = _raw_answers_sql(whole=True)
