@@ -118,25 +118,37 @@ def slug_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source + dropped), "".join(target), expanding
 
 
+@lru_cache(maxsize=1)
+def _expanding_ranges() -> str:
+    """The characters with a longer key, as ranges of a character class."""
+    codes = sorted(map(ord, slug_tables()[2]))
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
 def slug(text: Column) -> Column:
     """Key without accents, case, punctuation or spaces; NULL gives ''.
 
     ASCII texts only lose characters. For others one pass over a character
-    table settles nearly all; the rest take the general form, character by
-    character. The CASE evaluates a branch only where it is needed.
+    table settles nearly all; what has no key, such as letters of other
+    scripts, then goes at once. Only characters with a longer key are looked
+    up one by one. The CASE evaluates a branch only where it is needed.
     """
     source, target, expanding = slug_tables()
     pairs = ",".join(f"{char}:{key}" for char, key in expanding.items())
     lookup = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
     ascii_noise = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
     by_table = F.translate(text, source, target)
+    with_key = F.regexp_replace(by_table, f"[^a-zA-Z0-9{_expanding_ranges()}]+", "")
     spelled_out = F.array_join(
-        F.transform(F.split(by_table, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""
+        F.transform(F.split(with_key, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""
     )
     general = F.regexp_replace(spelled_out, "[^a-zA-Z0-9]", "")
     key = (
         F.when(_is_ascii(text), F.translate(text, ascii_noise, ""))
         .when(~by_table.rlike("[^a-zA-Z0-9]"), by_table)
+        .when(~with_key.rlike("[^a-zA-Z0-9]"), with_key)
         .otherwise(general)
     )
     return F.coalesce(F.lower(key), F.lit(""))

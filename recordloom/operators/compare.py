@@ -171,6 +171,7 @@ def comparative_statistics(df: DataFrame, years: Years) -> dict[str, dict]:
     }
 
 
+# Columns of the result table, and the names of variables and tests below.
 SUMMARY_SCHEMA = "Variable string, Test string, Statistique double, p_value double"
 
 

@@ -43,6 +43,7 @@ LIST_COLUMNS = {
 # ``{**LIST_COLUMNS, **EXTRA_KEYS}``.
 EXTRA_KEYS = {"tranchedage": "tranche_age", "conduiteatenir": "conduite_a_tenir"}
 
+# Fixed value: category key of the identity questions.
 IDENTITY = "identifiant"
 # List column -> scalar column holding its first answer.
 FIRST_ANSWERS = {

@@ -412,6 +412,52 @@ def _(spark, sf):
     return table_.withColumn("p_value", F.round("p_value", 6))
 
 
+# A forest can't be repeated in SQL. What it fills has to lie near the mean of
+# the rows with the same known sex (among the known ages where that misses too).
+_NEAR = 1.5
+
+
+@query(
+    "i3_forest_tolerance",
+    f"""{_EVENTS} SELECT annee, sexe, count(*) FILTER (WHERE age IS NULL) AS n_filled, count(*) FILTER (WHERE age IS NULL) AS n_near,
+        count(age) AS n_kept, CAST(count(*) FILTER (WHERE sexe IS NULL) AS BIGINT) AS n_sexes FROM visits GROUP BY annee, sexe""",
+)
+def _(spark, sf):
+    visits = staged(event_visits(spark, sf).select("annee", "age", "sexe", "diagnostic_categorie"), "visits")
+    known = visits.filter("age is not null and sexe is not null").groupBy("annee", "sexe").agg(F.avg("age").alias("mean"))
+    limits = visits.groupBy("annee").agg(F.min("age").cast("double").alias("low"), F.max("age").cast("double").alias("high"))
+    of_sex = known.unionByName(limits.select("annee", F.lit(None).cast("string").alias("sexe"), F.lit(None).cast("double").alias("mean")))
+    expected = of_sex.join(limits, "annee").select(
+        F.col("annee").alias("y"), F.col("sexe").alias("s"), (F.coalesce("mean", "low") - _NEAR).alias("low"), (F.coalesce("mean", "high") + _NEAR).alias("high")
+    )
+    filled = impute.random_forest(visits).join(F.broadcast(expected), (F.col("annee") == F.col("y")) & F.col("sexe").eqNullSafe(F.col("s")))
+    return filled.groupBy("annee", "sexe").agg(
+        F.count(F.when(F.col("age").isNull(), 1)).alias("n_filled"),
+        F.count(F.when(F.col("age").isNull() & F.col("age_imp").between(F.col("low"), F.col("high")), 1)).alias("n_near"),
+        F.count(F.when(F.col("age") == F.col("age_imp"), 1)).alias("n_kept"),
+        F.count(F.when(F.col("sexe").isNull() & F.col("sexe_imp").isin("Homme", "Femme"), 1)).alias("n_sexes"),
+    )
+
+
+@query(
+    "i4_sensitivity_tolerance",
+    f"""{_EVENTS}, {t.imputed_sql()}, chained AS MATERIALIZED (SELECT CAST({Y1} + CAST(substring(dossier, 2) AS BIGINT) % 2 AS INTEGER) AS annee, age_imp FROM ({_chained_sql()}) c),
+        m AS MATERIALIZED ({_moments_sql('imputed', 'age_imp')}), k AS MATERIALIZED ({_moments_sql('chained', 'age_imp')})
+        SELECT 'Median/Mode' AS method, {t.rounded('m1')} AS mean_1, {t.rounded('m2')} AS mean_2, TRUE AS near FROM m
+        UNION ALL SELECT 'MICE', {t.rounded('m1')}, {t.rounded('m2')}, TRUE FROM k UNION ALL SELECT 'Random Forest', NULL, NULL, TRUE FROM k""",
+)
+def _(spark, sf):
+    """The means of all three methods; the forest's have to be within 1 of the chained regressions'."""
+    visits = staged(event_visits(spark, sf).select("annee", "age", "sexe", "diagnostic_categorie"), "visits")
+    means = staged(compare.sensitivity(visits, YEARS), "sensitivity")
+    forest = F.col("method") == impute.METHODS["random_forest"]
+    mice = means.filter(F.col("method") == impute.METHODS["mice"]).select(F.col("mean_1").alias("k1"), F.col("mean_2").alias("k2"))
+    close = (F.abs(F.col("mean_1") - F.col("k1")) <= 1) & (F.abs(F.col("mean_2") - F.col("k2")) <= 1) & F.col("p_value").between(0, 1)
+    shown = [F.when(~forest, F.col(c)).alias(c) for c in ("mean_1", "mean_2")]
+    joined = means.withColumn("one", F.lit(1)).join(F.broadcast(mice.withColumn("one", F.lit(1))), "one")
+    return joined.select("method", *shown, F.when(forest, close).otherwise(F.lit(True)).alias("near"))
+
+
 # --- deduplication ----------------------------------------------------------
 
 _PARTS = f"WITH {PART_VISITS_SQL}"
