@@ -12,7 +12,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 # One fixed random word per byte value, and one odd factor per place in a shingle.
 BYTE_WORDS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 PLACES = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers = {BASE: np.ones(1, np.uint64), UNBASE: np.ones(1, np.uint64)}
 
