@@ -23,6 +23,8 @@ from recordloom.llm.shingles import shingle_set, word_hashes
 SAMPLE = 20_000
 PAIRS = 60_000
 BINS = 10
+# Pairs whose differences stand in memory at once while fitting.
+PAIR_BLOCK = 4096
 THRESHOLD = 0.3
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&|<>{}[]\\/=_~^@`+",
@@ -58,10 +60,12 @@ class Model:
         self.edges, self.centre, self.scale, self.weight, self.shift = edges, centre, scale, weight, shift
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        parts = [np.clip((x - self.centre) / self.scale, -5, 5)]
-        for j in range(x.shape[1]):
-            parts.append(np.eye(BINS + 1)[np.searchsorted(self.edges[j], x[:, j])])
-        return np.hstack(parts)
+        rows, wide = np.arange(len(x)), x.shape[1]
+        out = np.zeros((len(x), wide * (BINS + 2)))
+        out[:, :wide] = np.clip((x - self.centre) / self.scale, -5, 5)
+        for j in range(wide):
+            out[rows, wide + j * (BINS + 1) + np.searchsorted(self.edges[j], x[:, j])] = 1
+        return out
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.design(x) @ self.weight
@@ -71,14 +75,22 @@ class Model:
             return 1 / (1 + np.exp(-(self.raw(measures(texts)) + self.shift)))
 
 
-def preference_fit(diff: np.ndarray, ridge: float, rounds: int = 12) -> np.ndarray:
-    """Minimum of the mean of log(1 + exp(-diff @ w)) + ridge / 2 |w|^2, by Newton steps."""
-    w = np.zeros(diff.shape[1])
+def preference_fit(design: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float, rounds: int = 12) -> np.ndarray:
+    """Minimum of the mean of log(1 + exp(-diff @ w)) + ridge / 2 |w|^2, by Newton steps.
+
+    ``diff`` is ``design[better] - design[worse]``, which is never held whole:
+    a step sums over blocks of pairs.
+    """
+    n, width = len(better), design.shape[1]
+    w = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        slope = ridge * w - diff.T @ p / len(diff)
-        bend = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(bend, slope)
+        pull, bend = np.zeros(width), np.zeros((width, width))
+        for at in range(0, n, PAIR_BLOCK):
+            diff = design[better[at : at + PAIR_BLOCK]] - design[worse[at : at + PAIR_BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+            pull += diff.T @ p
+            bend += (diff * (p * (1 - p))[:, None]).T @ diff
+        w = w - np.linalg.solve(bend / n + ridge * np.eye(width), ridge * w - pull / n)
     return w
 
 
@@ -92,7 +104,7 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Model | None:
     design = model.design(x)
     better = rng.choice(np.flatnonzero(good), PAIRS)
     worse = rng.choice(np.flatnonzero(~good), PAIRS)
-    model.weight = preference_fit(design[better] - design[worse], 1e-3)
+    model.weight = preference_fit(design, better, worse, 1e-3)
     cut = np.quantile(model.raw(x), (~good).mean())
     model.shift = math.log(THRESHOLD / (1 - THRESHOLD)) - cut
     return model
