@@ -8,9 +8,11 @@ with the rules that one of its tokens leads to.
 Tokens that stand in the same labelled pages are one item, so a long template
 counts once, not with all its subsets; an item fits a page that has any of its
 tokens, as every one of them makes the same rules. Items too rare among bad
-pages can be in no rule and are left out before mining. Mining is a fit: of a
-labelled page it takes at most ``WIDEST`` items, those most typical of bad pages.
-All pages are judged by all rules.
+pages can be in no rule and are left out before mining. Where a labelled page
+holds more than ``WIDEST`` items, FP-growth would list up to 2 ** items sets of
+it; there the sets are grown level by level instead, without those that a
+smaller set replaces. All items of all pages are mined, and the rules fit the
+same pages with the same confidence. All pages are judged by all rules.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from recordloom.session import small_side
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BAD = "label=bad"
 # Least number of labelled pages of a rule, beside the relative support, and
-# items of one labelled page that are mined: 2 ** WIDEST bounds its combinations.
+# items of one labelled page up to which FP-growth lists all their sets.
 LEAST_PAGES, WIDEST = 5, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,6 +93,48 @@ def items_of(marked: DataFrame, least: int, share_bad: float) -> DataFrame:
     return staged(rows.join(names, same).select("token", "item", "pages", lift.alias("lift")), "url-items")
 
 
+def least_sets(kinds: DataFrame, least: int) -> DataFrame:
+    """Item sets that can be needed for a rule: ``items``, ``freq`` and ``bad_freq`` (pages that hold them, and bad ones).
+
+    ``kinds`` holds distinct sorted arrays ``items`` with the number of their
+    ``pages`` and ``bads``. Left out are sets in fewer than ``least`` bad pages,
+    sets in the same pages as a part of them, and sets with a part that stands
+    in bad pages alone: that part fits wherever they do, and no less surely.
+    Every part of a set that stays has to stay and to be open, so a level is
+    built from the one before it.
+    """
+    kinds = staged(kinds.withColumn("kind", F.monotonically_increasing_id()), "url-kinds")
+    weights = kinds.select("kind", "pages", "bads")
+    everywhere = weights.agg(F.sum("pages")).first()[0]
+    held = kinds.select("kind", F.explode("items").alias("item")).select("kind", F.array("item").alias("items"))
+    found, size = None, 1
+    while True:
+        counted = held.join(weights, "kind").groupBy("items").agg(F.sum("pages").alias("freq"), F.sum("bads").alias("bad_freq"))
+        counted = counted.where(F.col("bad_freq") >= least)
+        if size == 1:
+            level = counted.where(F.col("freq") < everywhere)
+        else:
+            parts = counted.select("items", "freq", F.explode("items").alias("gone")).select(
+                F.col("items").alias("whole"), F.col("freq").alias("whole_freq"), F.array_remove("items", F.col("gone")).alias("items")
+            )
+            fewer = parts.join(open_.select("items", "freq"), "items").where(F.col("whole_freq") < F.col("freq"))
+            whole = fewer.groupBy(F.col("whole").alias("items")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
+            level = counted.join(whole.select("items"), "items", "left_semi")
+        level = staged(level, "url-level")
+        found = level if found is None else found.unionByName(level)
+        open_ = level.where(F.col("bad_freq") < F.col("freq"))
+        if open_.isEmpty():
+            return found
+        # Two sets of a page that differ in their last item make a larger one.
+        held = staged(held.join(open_.select("items"), "items", "left_semi"), "url-held")
+        ends = held.select("kind", F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("last"))
+        later = ends.select("kind", "head", F.col("last").alias("next"))
+        held = ends.join(later, ["kind", "head"]).where(F.col("last") < F.col("next")).select(
+            "kind", F.concat("head", F.array("last", "next")).alias("items")
+        )
+        size += 1
+
+
 def mined_rules(
     tokens: DataFrame, labels: DataFrame, *, min_support: float, min_confidence: float, min_lift: float, least_pages: int = LEAST_PAGES
 ) -> tuple[DataFrame, DataFrame]:
@@ -111,18 +155,24 @@ def mined_rules(
     items = items_of(marked, least, bads / pages)
     named = marked.select("page", "bad", F.explode("tokens").alias("token")).join(small_side(items), "token")
     # An item of any number of tokens is one entry of a page.
-    best_first = F.sort_array(F.collect_set(F.struct("lift", "item")), asc=False)
-    baskets = named.groupBy("page", "bad").agg(F.transform(F.slice(best_first, 1, WIDEST), lambda x: x["item"]).alias("items"))
-    baskets = staged(baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "url-baskets")
-    total = baskets.count()
+    baskets = named.groupBy("page", "bad").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    baskets = staged(baskets, "url-baskets")
+    total, widest = baskets.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
     if not total:
         return items.select("token", "item"), spark.createDataFrame([], "rule long, needs array<string>, anchor string, confidence double")
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total)).fit(baskets).freqItemsets
-    sets = staged(sets.select(F.sort_array("items").alias("items"), "freq"), "url-itemsets")
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
-    bad = bad.select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("bad_freq"))
+    if widest <= WIDEST:
+        marked_bad = F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items"))
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total)).fit(baskets.select(marked_bad.alias("items"))).freqItemsets
+        sets = staged(sets.select(F.sort_array("items").alias("items"), "freq"), "url-itemsets")
+        bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
+        bad = bad.select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("bad_freq"))
+        bad = bad.join(sets, "items")
+    else:
+        bad = least_sets(
+            baskets.groupBy("items").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("bad").cast("long")).alias("bads")), least
+        )
     confidence = F.col("bad_freq") / F.col("freq")
-    rules = bad.join(sets, "items").select(F.xxhash64("items").alias("rule"), F.col("items").alias("needs"), confidence.alias("confidence"))
+    rules = bad.select(F.xxhash64("items").alias("rule"), F.col("items").alias("needs"), confidence.alias("confidence"))
     rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * bads / pages))
     counts = items.groupBy("item").agg(F.max("pages").alias("pages"))
     anchors = rules.select("rule", F.explode("needs").alias("item")).join(counts, "item").groupBy("rule").agg(
