@@ -44,3 +44,16 @@ def test_blanks_and_quotes_survive_a_csv_round_trip(spark, tmp_path):
     tables.write_csv(df, str(tmp_path / "t"))
     back = spark.read.options(**tables._CSV).csv(str(tmp_path / "t")).collect()
     assert sorted((int(r.i), r.a, r.b, r.c) for r in back) == rows
+
+
+def test_compressed_export_reads_the_same_and_is_smaller(spark, tmp_path):
+    rows = [(i, "t", "Sexe : Homme", None, f"D{i}", "03/09/2023", "on, \"x\"") for i in range(3000)]
+    raw = spark.createDataFrame(rows, tables.RAW_SCHEMA).coalesce(1)
+    size, read = {}, {}
+    for kind in (None, "gzip"):
+        path = str(tmp_path / str(kind))
+        tables.write_csv(raw, path, compression=kind)
+        size[kind] = sum(f.stat().st_size for f in (tmp_path / str(kind)).glob("part-*"))
+        read[kind] = sorted(map(tuple, tables.read_raw_eav(spark, path, 2023, "csv").collect()), key=repr)
+    assert read[None] == read["gzip"] and len(read["gzip"]) == 3000
+    assert size["gzip"] * 4 < size[None]
