@@ -183,3 +183,26 @@ def test_ranks_of_far_row_numbers(spark):
     rows = spark.createDataFrame([(2023, b, n) for b in ("A", "B") for n in nos], "annee int, block string, no bigint")
     got = {(r.block, r.no): r.rank for r in dedup._ranks(rows).collect()}
     assert got == {(b, n): i + 1 for b in ("A", "B") for i, n in enumerate(nos)}
+
+
+def test_sweep_holds_links_in_few_bytes():
+    """200,000 links as a dictionary of tuples are over 50 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from recordloom.operators import sweep
+
+    n, around = 4000, 50
+    number = np.arange(n)
+    visits = pd.DataFrame({"year": np.full(n, 2023, "int32"), "cell": number, "no": number, "at": 0, "dated": True, "outside": sweep.LAST, "rest": sweep.LAST})
+    others = (np.repeat(number, around) + np.tile(np.arange(-around // 2, around // 2) * 2 + 1, n)) % n
+    links = pd.DataFrame({"year": np.full(n * around, 2023, "int32"), "cell": np.repeat(number, around), "other": others, "near": True, "far": False})
+    tracemalloc.start()
+    out = sweep.sweep(visits, links, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Links join odd numbers with even ones, so the first of two neighbours stays.
+    assert len(out) == n and out["kept"].iloc[0] and 0 < out["kept"].sum() < n
+    assert peak < 25e6
