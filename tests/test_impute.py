@@ -123,3 +123,46 @@ def test_median_gathers_no_group(spark, capsys):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
     impute.exact_median(df, "v", "g").explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_forest_trees_are_grown_from_counts(spark):
+    """Equal rows are counted once: a million equal rows fill as a few thousand do, and no row forest is fitted."""
+    from unittest import mock
+
+    from recordloom.operators import impute as module
+
+    pattern = [(a, s) for a in (20, 21, 22) for s in ("Homme",)] + [(a, "Femme") for a in (40, 41, 42)]
+    pattern += [(None, "Homme"), (None, "Femme"), (None, None), (21, None), (41, None)]
+    shape = "annee int, age int, sexe string, diagnostic_categorie string"
+    rows = spark.createDataFrame([(2023, a, s, "ORL") for a, s in pattern], shape).crossJoin(spark.range(20_000)).drop("id")
+    with mock.patch.object(module, "RandomForestRegressor", side_effect=AssertionError("rows were trained on")):
+        filled = module.random_forest(rows, trees=10).groupBy("age", "sexe").agg(
+            {"age_imp": "max", "sexe_imp": "max", "annee": "count"}
+        ).collect()
+    got = {(r["age"], r["sexe"]): (r["max(age_imp)"], r["max(sexe_imp)"], r["count(annee)"]) for r in filled}
+    assert all(n == 20_000 for _, _, n in got.values()) and len(got) == len(pattern)
+    assert got[None, "Homme"][0] == 21 and got[None, "Femme"][0] == 41
+    assert got[21, None][1] == "Homme" and got[41, None][1] == "Femme"
+
+
+def test_tree_from_counts_equals_rows_drawn():
+    """A tree over summed places cuts where a scan of every cut finds the least squared error."""
+    import numpy as np
+
+    from recordloom.operators import trees
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 4, 30).astype(float)
+    y = rng.normal(size=30)
+    got = trees.grow(n, n * y, n * y * y, 1)
+
+    def error(a, b):
+        w, v = n[a:b], y[a:b]
+        return float((w * (v - (w @ v) / w.sum()) ** 2).sum()) if w.sum() else np.inf
+
+    cut = min(range(1, 30), key=lambda c: error(0, c) + error(c, 30))
+    want = np.r_[np.full(cut, (n[:cut] @ y[:cut]) / n[:cut].sum()), np.full(30 - cut, (n[cut:] @ y[cut:]) / n[cut:].sum())]
+    assert np.allclose(got, want)
+    deep = trees.grow(n, n * y, n * y * y, 30)
+    assert np.allclose(deep[n > 0], y[n > 0])
+    assert np.isnan(trees.grow(np.zeros(3), np.zeros(3), np.zeros(3), 5)).all()
