@@ -101,3 +101,20 @@ def test_plans_stay_in_the_jvm(spark, capsys, tmp_path):
     # Columns no later stage uses are not read.
     schema = plan[plan.index("ReadSchema"):]
     assert "titre" not in schema and "patient" not in schema
+
+
+def test_answers_are_sorted_by_a_hash_of_their_visit(spark):
+    """The sort below the aggregation starts with eight bytes that tell visits apart, not with the year."""
+    import re
+
+    from recordloom.operators import eav as module
+
+    raw = spark.createDataFrame(
+        [(1, "t", "Service : A", None, "D1", None, "on", 2023)],
+        "row_no bigint, titre string, attribut string, patient string, dossier string, date_entree string, reponse string, annee int",
+    )
+    visits = module.normalised_visits(module.clean_eav(raw))
+    plan = visits._jdf.queryExecution().executedPlan().toString()
+    sorts = re.findall(r"Sort \[(\w+)#", plan)
+    assert sorts and set(sorts) == {"_visit"}
+    assert "_visit" not in visits.columns and visits.first()["service_principal"] == "A"
