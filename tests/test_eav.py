@@ -118,3 +118,61 @@ def test_answers_are_sorted_by_a_hash_of_their_visit(spark):
     sorts = re.findall(r"Sort \[(\w+)#", plan)
     assert sorts and set(sorts) == {"_groupingexpression"}
     assert "_visit" not in visits.columns and visits.first()["service_principal"] == "A"
+
+
+def test_lists_are_collected_together_from_narrow_rows(spark):
+    """Rows enter the aggregation with what it reads; lists nobody reads are not collected."""
+    clean = make(spark)
+    plan = eav.normalise_lists(eav.pivot_visits(clean)).drop("antecedents", "motif_consultation")
+    read = [c for c in eav.normalised_visits(clean).columns]
+    partial = plan.select(read)._jdf.queryExecution().executedPlan().toString()
+    partial = next(line for line in partial.splitlines() if "partial_min(" in line)
+    assert partial.count("partial_collect_list") == 1
+    assert "cat_slug" not in partial and "item_slug" not in partial and "reponse_on" not in partial
+    # An answer is not kept beside its place in the order.
+    assert "min_by" not in partial
+    full = eav.pivot_visits(clean)._jdf.queryExecution().executedPlan().toString()
+    full = next(line for line in full.splitlines() if "partial_min(" in line)
+    assert full.count("partial_collect_list") == 2
+
+
+def test_lists_of_a_visit_with_repeated_and_missing_row_numbers(spark):
+    schema = (
+        "row_no bigint, attribut string, categorie string, item string, cat_slug string, item_slug string, "
+        "patient string, dossier string, date_entree string, reponse string, reponse_on boolean, annee int"
+    )
+    answers = [
+        (7, "service", "B", None), (7, "service", "A", None), (None, "service", "Z", None), (3, "service", "A", None),
+        (9, "trancheage", "old", None), (1, "trancheddge", "first by row", None), (9, "typedetraitement", "T", None),
+        (2, "service", None, None), (5, "autre", "X", "03-09-2023 07:30"), (5, "autre", "W", "04-09-2023 07:30"),
+    ]
+    rows = [(n, k, k, i, k, i, None, "d", date, "on", True, 2023) for n, k, i, date in answers]
+    out = eav.pivot_visits(spark.createDataFrame(rows, schema).repartition(4)).collect()
+    assert len(out) == 1 and (out[0].visit_no, out[0].n_lignes) == (1, 10)
+    assert out[0].service == ["Z", "A", "A", "B"] and out[0].tranche_age == ["old", "first by row"]
+    assert out[0].type_traitement == ["T"] and out[0].diagnostic is None
+    assert out[0].date_entree == dt.datetime(2023, 9, 4, 7, 30)
+
+
+def test_orders_that_become_answers_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    """A split of a file says nothing of the answers its orders become."""
+    from pyspark.sql import functions as F
+
+    from workload import shapes
+
+    spark.range(1000).selectExpr(
+        "id AS o_orderkey", "id % 50 AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice",
+        "TIMESTAMP_NTZ'2020-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    ).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(40).selectExpr("id AS c_custkey", "concat('C', id) AS c_name", "'S' AS c_mktsegment").write.parquet(
+        str(tmp_path / "customer.parquet"))
+    spark.range(100).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "'A' AS l_returnflag").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    few = shapes.raw_answers(spark, str(tmp_path), whole=True)
+    monkeypatch.setattr(shapes, "VISITS_A_TASK", 50)
+    many = shapes.raw_answers(spark, str(tmp_path), whole=True)
+    answered = many.filter("titre = 'orders'").groupBy(F.spark_partition_id()).agg(F.count_distinct("dossier").alias("n"))
+    assert answered.agg(F.max("n")).first()[0] <= 60
+    assert many.count() == 22 * 1000 + 100
+    assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty()
