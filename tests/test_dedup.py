@@ -154,6 +154,42 @@ def test_small_buckets_decide_the_same(spark, monkeypatch, cells, sent):
     check(spark, random_rows(150, 21 + cells, hot=True))
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.78])
+def test_phases_of_crowded_blocks_decide_the_same(spark, monkeypatch, threshold):
+    """Visits that a kept visit of an earlier phase drops, dated or not, and their copies."""
+    monkeypatch.setattr(dedup, "PHASE_CLASSES", 40)
+    monkeypatch.setattr(dedup, "PHASE_GROWTH", 4)
+    rows = random_rows(240, 61, hot=True)
+    rows += [(y, i + 1000, *rest) for y, i, *rest in rows[:60]]
+    check(spark, rows, threshold)
+
+
+def test_pairs_of_a_crowded_block_are_not_all_listed(spark, monkeypatch):
+    """600 names that all match, within 20 days: pairs are listed only between visits no earlier phase drops."""
+    rng = random.Random(71)
+    start = dt.datetime(2023, 1, 1)
+    rows = [
+        (2023, i, f"machinery customer{rng.randrange(10**6):09d}", "Femme", 30, start + dt.timedelta(hours=rng.randrange(24 * 20)))
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    monkeypatch.setattr(dedup, "PHASE_CLASSES", 80, raising=False)
+    listed = []
+    staged = dedup.staged
+
+    def counted(part, label):
+        out = staged(part, label)
+        if label == "neighbours":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "staged", counted)
+    outcome = dedup.keep_first(dedup.match_classes(df))
+    assert {(r.annee, r.visit_no) for r in dedup.without_dropped(df, outcome).collect()} == scan(rows, 0.85)[0]
+    # Each pair stands there both ways; all at once they are over 30,000.
+    assert sum(listed) < 10_000, listed
+
+
 def test_days_cut_in_windows_need_few_rounds(spark, monkeypatch):
     """Lookalikes over a year, in windows far smaller than the chain; rounds don't follow the calendar."""
     monkeypatch.setattr(dedup, "BUCKET_CELLS", 60)
