@@ -120,6 +120,15 @@ def test_answers_are_sorted_by_a_hash_of_their_visit(spark):
     assert "_visit" not in visits.columns and visits.first()["service_principal"] == "A"
 
 
+def test_visits_are_aggregated_from_narrow_rows(spark):
+    """Rows carry numbers for keys, and a first answer stands once beside its place in the order."""
+    plan = eav.normalised_visits(make(spark))._jdf.queryExecution().executedPlan().toString()
+    partial = next(line for line in plan.splitlines() if "partial_min(" in line)
+    assert "cat_slug" not in partial and "item_slug" not in partial and "reponse_on" not in partial
+    assert "min_by" not in partial and "bool_or" not in partial and "partial_max" not in partial
+    assert partial.count("partial_bit_or") == 1
+
+
 def test_lists_are_collected_together_from_narrow_rows(spark):
     """Rows enter the aggregation with what it reads; lists nobody reads are not collected."""
     clean = make(spark)
