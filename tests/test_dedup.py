@@ -186,7 +186,7 @@ def test_pairs_of_a_crowded_block_are_not_all_listed(spark, monkeypatch):
     monkeypatch.setattr(dedup, "staged", counted)
     outcome = dedup.keep_first(dedup.match_classes(df))
     assert {(r.annee, r.visit_no) for r in dedup.without_dropped(df, outcome).collect()} == scan(rows, 0.85)[0]
-    # Each pair stands there both ways; all at once they are over 30,000.
+    # Each pair stands there both ways; all at once they are 77,456.
     assert sum(listed) < 10_000, listed
 
 
